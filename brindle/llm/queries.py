@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_count, toxicity, warc, wavelet
+from . import ann, packing, simhash, token_count, topk, toxicity, warc, wavelet
 from .common import documents
 
 
@@ -27,11 +27,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product for every twentieth id."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every document."""
     return token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products for every fiftieth id."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document."""
     return toxicity.toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
