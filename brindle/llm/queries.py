@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, simhash, token_count, topk, toxicity, warc, wavelet
+from . import ann, packing, pitman_yor, simhash, token_count, topk, toxicity, warc, wavelet
 from .common import documents
 
 
@@ -27,6 +27,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document, learning from those that are not held out."""
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 def op4_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors by inner product for every twentieth id."""
     return ann.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
