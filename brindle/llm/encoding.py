@@ -14,8 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-UNITS = 150_000
-WORDS = 400_000
+UNITS = 250_000
+WORDS = 600_000
 #: Letters below this one are their own composed form and have one lower-case letter, or else are no longer only letters.
 PLAIN = "\u0250"
 #: Marks that end a word and are a word of their own.
@@ -43,6 +43,18 @@ class TwoAges(dict):
         return value
 
 
+class _Spelt(dict):
+    """How the library's pre-tokeniser spells a letter, by its number."""
+
+    def __init__(self, cut: Callable):
+        super().__init__()
+        self.cut = cut
+
+    def __missing__(self, letter: int) -> str:
+        self[letter] = spelt = self.cut(chr(letter))[0][0]
+        return spelt
+
+
 class _Whole(Exception):
     """The text can't be cut."""
 
@@ -63,6 +75,8 @@ class Encoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         cut = self.library.pre_tokenizer.pre_tokenize_str
         self.spaced = cut(" b")[0][0] != cut("b")[0][0]  # a word takes the space before it along
+        self.head = cut(" b")[0][0][:-1]
+        self.spelt = _Spelt(cut)
         self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.words = TwoAges(self._word, words)
@@ -75,7 +89,7 @@ class Encoder:
 
     def _letters(self, word: str) -> bytes:
         """The ids of letters alone, after a space where the words take it along: one word of the pre-tokeniser."""
-        return self._word(self.library.pre_tokenizer.pre_tokenize_str(" " + word if self.spaced else word)[0][0])
+        return self._word(self.head + word.translate(self.spelt))
 
     def _raw(self, unit: str) -> bytes:
         """The ids of a unit as it stands."""
