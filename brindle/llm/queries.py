@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, pitman_yor, simhash, token_count, topk, toxicity, warc, wavelet
+from . import ann, mixing, packing, pitman_yor, simhash, token_count, topk, toxicity, warc, wavelet
 from .common import documents
 
 
@@ -37,6 +37,19 @@ def op4_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+#: Of the query op5: weights of the domains; other nodes weigh as their size tempers.
+MIX_WEIGHTS = {("domain0",): 4.0, ("domain1",): 2.0, ("domain2",): 1.0, ("domain3",): 1.0}
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix the documents by domain, language and source to 80 % of their words, in up to 2 epochs."""
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", "lang", "source", "text")
+    levels = [mixing.domain(F.col("source")), F.col("lang"), F.col("source")]
+    mixed = mixing.mix(rows, levels, 0.8, MIX_WEIGHTS, epochs=2, epoch_column="epoch")
+    return mixed.select("doc_id", "epoch", mixing.domain(F.col("source")).alias("domain"), "lang", "source", mixing.words(F.col("text")).alias("n_words"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every document."""
     return token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
