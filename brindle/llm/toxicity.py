@@ -38,6 +38,7 @@ GRAM_ROWS = 1 << 14
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
 MOST_DOCS = 1500
+STEPS = 320
 MOST_WINDOWS = 24
 #: Words whose inputs a worker keeps.
 WORDS_KEPT = 200_000
@@ -67,6 +68,14 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, np.concatenate(grams), np.concatenate(owners)
 
 
+def _sums(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` added up by owner."""
+    out = np.empty((n, values.shape[1]), np.float32)
+    for k in range(values.shape[1]):
+        out[:, k] = np.bincount(owners, values[:, k], minlength=n)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -84,12 +93,13 @@ class Network:
 
     def embed(self, words: list[bytes]) -> np.ndarray:
         """Inputs of words: the word's row and the mean of its n-grams' rows."""
-        rows, grams, owners = _hashes(words)
-        out = self.w["words"][rows].copy()
-        count = np.maximum(np.bincount(owners, minlength=len(words)), 1).astype(np.float32)
-        for k in range(self.dim):
-            out[:, k] += np.bincount(owners, self.w["grams"][grams, k], minlength=len(words)).astype(np.float32) * 2 / np.sqrt(count)
-        return out
+        return self.inputs(*_hashes(words))
+
+    def inputs(self, rows: np.ndarray, grams: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Inputs from the rows of words and of their n-grams."""
+        n = len(rows)
+        scale = 2 / np.sqrt(np.maximum(np.bincount(owners, minlength=n), 1))
+        return self.w["words"][rows] + _sums(self.w["grams"][grams], owners, n) * scale[:, None].astype(np.float32)
 
     def run(self, inputs: np.ndarray, at: np.ndarray, lengths: np.ndarray, keep: bool = False):
         """Scores (logits) of windows. ``inputs``: rows of word inputs; ``at``: (windows, steps) row numbers, 0 is padding."""
@@ -130,7 +140,7 @@ class Network:
         g["a"] = np.einsum("tn,tnh->h", da, both)
         dboth = weight[:, :, None] * dp[None] + da[:, :, None] * w["a"]
         for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
-            dx_all = np.zeros((len(inputs), 3 * h), np.float32)
+            steps = []
             gh, carry = np.zeros_like(w[f"h{d}"]), np.zeros((len(label), h), np.float32)
             for t, state, z, r, y, new, on in reversed(memory[d]):
                 ds = carry + dboth[t, :, part]
@@ -138,9 +148,10 @@ class Network:
                 dz, dn = live_ds * (state - new) * z * (1 - z), live_ds * (1 - z) * (1 - new**2)
                 dr = dn * y * r * (1 - r)
                 dy = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(dx_all, at[:, t], np.concatenate([dz, dr, dn], axis=1))
+                steps.append((at[:, t], np.concatenate([dz, dr, dn], axis=1)))
                 gh += state.T @ dy
                 carry = np.where(on, live_ds * z, ds) + dy @ w[f"h{d}"].T
+            dx_all = _sums(np.concatenate([x for _, x in steps]), np.concatenate([x for x, _ in steps]), len(inputs))
             dx_all[0] = 0
             g[f"h{d}"], g[f"c{d}"], g[f"x{d}"] = gh, dx_all.sum(axis=0), inputs.T @ dx_all
             g["inputs"] += dx_all @ w[f"x{d}"].T
@@ -159,7 +170,7 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 480, batch: int = 192, most_windows: int = MOST_WINDOWS, seed: int = 7) -> Network:
+def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 192, most_windows: int = MOST_WINDOWS, seed: int = 7) -> Network:
     """Train on labelled texts."""
     net, r = Network(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -180,37 +191,33 @@ def fit(texts: list[str], labels: list[int], steps: int = 480, batch: int = 192,
     at, lengths, owner = np.array(at), np.array(lengths), np.array(owner)
     rows, grams, owners = _hashes([b"", *number])
     order = np.argsort(owners, kind="stable")
-    grams, first = grams[order], np.searchsorted(owners[order], np.arange(len(number) + 2))
+    grams, owners = grams[order], owners[order]
+    first = np.searchsorted(owners, np.arange(len(rows) + 1))
     label = y[owner]
-    groups = [np.flatnonzero(label == c) for c in (0, 1)]
+    negative, positive = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
+    hard = negative
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
     for step in range(steps):
-        if step >= steps // 4 and step % 60 == 0:  # of a positive text the highest window
-            score = np.concatenate([net.run(*_inputs(net, rows, grams, first, at[k : k + 4096]), lengths[k : k + 4096]) for k in range(0, len(at), 4096)])
+        if step in (steps // 4, steps // 2, steps * 3 // 4):  # of a positive text the highest window, and the hardest others
+            inputs = net.inputs(rows, grams, owners)
+            score = np.concatenate([net.run(inputs, at[k : k + BATCH], lengths[k : k + BATCH]) for k in range(0, len(at), BATCH)])
             best = np.lexsort((score, owner))
             last = best[np.append(np.flatnonzero(np.diff(owner[best])), len(best) - 1)]
-            groups[1] = last[label[last] == 1]
-            hard = groups[0][np.argsort(-score[groups[0]])[: max(64, len(groups[0]) // 10)]] if len(groups[0]) else groups[0]
-            hard = hard if len(hard) else groups[0]
-            mixed = [hard, np.flatnonzero(label == 0)]
-        else:
-            mixed = mixed if step >= steps // 4 else [groups[0], groups[0]]
-        pick = np.concatenate([r.choice(mixed[0], batch // 4), r.choice(mixed[1], batch // 4), r.choice(groups[1], batch // 2)])
+            positive = last[label[last] == 1]
+            hard = negative[np.argsort(-score[negative])[: max(64, len(negative) // 20)]]
+        pick = np.concatenate([r.choice(hard, batch // 4), r.choice(negative, batch // 4), r.choice(positive, batch // 2)])
         used, local = np.unique(at[pick], return_inverse=True)
         local = local.reshape(len(pick), WINDOW)
         if used[0] != 0:
             used, local = np.concatenate([[0], used]), local + 1
-        spread = [grams[first[u] : first[u + 1]] for u in used]
-        count = np.array([max(1, len(s)) for s in spread], np.float32)
-        flat, own = np.concatenate(spread), np.repeat(np.arange(len(used)), [len(s) for s in spread])
-        inputs = net.w["words"][rows[used]].copy()
-        np.add.at(inputs, own, net.w["grams"][flat] * (2 / np.sqrt(count))[own, None])
+        count = first[used + 1] - first[used]
+        own = np.repeat(np.arange(len(used)), count)
+        flat = grams[np.repeat(first[used] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+        scale = (2 / np.sqrt(np.maximum(count, 1)))[:, None].astype(np.float32)
+        inputs = net.w["words"][rows[used]] + _sums(net.w["grams"][flat], own, len(used)) * scale
         g = net.gradients(inputs, local, lengths[pick], label[pick], np.ones(len(pick), np.float32))
         dx = g.pop("inputs")
-        for name, where, rows_g in (("words", rows[used], dx), ("grams", flat, (dx * (2 / np.sqrt(count))[:, None])[own])):
-            full = np.zeros_like(net.w[name])
-            np.add.at(full, where, rows_g)
-            g[name] = full
+        g["words"], g["grams"] = _sums(dx, rows[used], WORD_ROWS), _sums((dx * scale)[own], flat, GRAM_ROWS)
         rate = 0.02 * (1 - step / steps) + 0.001
         for k, v in g.items():
             m, s = moment[k]
@@ -220,16 +227,6 @@ def fit(texts: list[str], labels: list[int], steps: int = 480, batch: int = 192,
     return net
 
 
-def _inputs(net: Network, rows, grams, first, at) -> tuple[np.ndarray, np.ndarray]:
-    used, local = np.unique(at, return_inverse=True)
-    spread = [grams[first[u] : first[u + 1]] for u in used]
-    count = np.array([max(1, len(s)) for s in spread], np.float32)
-    own = np.repeat(np.arange(len(used)), [len(s) for s in spread])
-    inputs = net.w["words"][rows[used]].copy()
-    np.add.at(inputs, own, net.w["grams"][np.concatenate(spread)] * (2 / np.sqrt(count))[own, None])
-    return inputs, local.reshape(at.shape)
-
-
 class Scorer:
     """Scores texts with a network; inputs of words are kept from text to text."""
 
