@@ -15,3 +15,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def folder(spark, name: str) -> str:
+    """A new folder in the shared folder."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="brindle-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
