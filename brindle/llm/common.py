@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str = "t", by: list[str] | None = None) -> Data
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,6 +26,7 @@ further columns can have any name.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, shuffle_parts, written
 
 CONTEXTS = 64
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BURN_IN = 2
 SAMPLES = 3
 SMALL = 8
@@ -49,6 +50,25 @@ SEED = 42
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as one run of bytes for each of their positions: the high ones are alike and compress."""
+    values = np.ascontiguousarray(values, np.dtype(kind))
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _joined(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(np.dtype(kind)).ravel()
+
+
+def _trim() -> None:
+    """Give freed memory back, since workers live on between tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library has no such call
+        return
+
+
 class _Numbers(dict):
     """Numbers for words in the order of their first use."""
 
@@ -98,8 +118,8 @@ def _block(number: int, words: _Numbers, docs: list, ranges: int) -> pa.RecordBa
         a, b = cuts[r], cuts[r + 1]
         if a < b:
             x, y = ends[a], ends[b]
-            requests.append({"range": r, "words": sorted_hashes[a:b].tobytes(), "fan": fan[a:b].tobytes(), "contexts": context[x:y].tobytes(), "counts": counts[x:y].tobytes()})
-    row = {"block": number, "ids": np.array([d[0] for d in docs], "<i8").tobytes(), "known": np.array([d[1] for d in docs], np.uint8).tobytes(), "held": held.tobytes(), "lengths": lengths.tobytes(), "pairs": inverse.astype("<u4").tobytes(), "requests": requests}
+            requests.append({"range": r, "words": sorted_hashes[a:b].tobytes(), "fan": fan[a:b].tobytes(), "contexts": context[x:y].tobytes(), "counts": _planes(counts[x:y], "<u4")})
+    row = {"block": number, "ids": np.array([d[0] for d in docs], "<i8").tobytes(), "known": np.array([d[1] for d in docs], np.uint8).tobytes(), "held": held.tobytes(), "lengths": lengths.tobytes(), "pairs": _planes(inverse, "<u4"), "requests": requests}
     return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
 
@@ -116,8 +136,11 @@ def blocks(docs: DataFrame, ranges: int, block_tokens: int = BLOCK_TOKENS) -> Da
                 if total >= block_tokens:
                     yield _block(number, words, rows, ranges)
                     number, words, rows, total = number + 1, _Numbers(), [], 0
+                    _trim()
         if rows:
             yield _block(number, words, rows, ranges)
+            del words, rows
+            _trim()
 
     kinds = "block long, ids binary, known binary, held binary, lengths binary, pairs binary, requests array<struct<range:int,words:binary,fan:binary,contexts:binary,counts:binary>>"
     return docs.mapInArrow(tokenised, kinds)
@@ -131,7 +154,7 @@ def _asked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     of_words = np.split(places, cuts)
     codes = [np.repeat(p, np.frombuffer(f, np.uint8)) * CONTEXTS + np.frombuffer(c, np.uint8) for p, f, c in zip(of_words, rows["fan"], rows["contexts"])]
     pairs, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]), minlength=len(pairs)).astype(np.int64)
+    counts = np.bincount(inverse, np.concatenate([_joined(x, "<u4") for x in rows["counts"]]), minlength=len(pairs)).astype(np.int64)
     return names, pairs, counts, np.split(inverse, np.cumsum([len(c) for c in codes])[:-1])
 
 
@@ -142,9 +165,10 @@ def summed(made: DataFrame) -> DataFrame:
     """One row for each range: the counts of all blocks, and which places each block asked for."""
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
+        _trim()
         rows = rows.sort_values("block")
         names, pairs, counts, of_pairs = _asked(rows)
-        return pd.DataFrame({"range": [key[0]], "blocks": [rows["block"].to_numpy().astype("<i8").tobytes()], "words": [len(names)], "pairs": [pairs.astype("<i8").tobytes()], "counts": [counts.astype("<i8").tobytes()], "of_pairs": [[x.astype("<u4").tobytes() for x in of_pairs]]})
+        return pd.DataFrame({"range": [key[0]], "blocks": [rows["block"].to_numpy().astype("<i8").tobytes()], "words": [len(names)], "pairs": [_planes(pairs, "<i8")], "counts": [_planes(counts, "<i8")], "of_pairs": [[_planes(x, "<u4") for x in of_pairs]]})
 
     asked = made.select("block", F.inline("requests"))
     return asked.groupBy("range").applyInPandas(add, _RANGE)
@@ -207,7 +231,7 @@ class Seats:
 
 def run(row: dict, sums: dict, burn_in: int, samples: int, seed: int):
     """Sweeps over one range. Yields the totals of tables, and the samples' mean of each pair's probability."""
-    pairs, counts = np.frombuffer(row["pairs"], "<i8"), np.frombuffer(row["counts"], "<i8")
+    pairs, counts = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8")
     word, context, n = pairs // CONTEXTS, pairs % CONTEXTS, int(row["words"])
     draw = np.random.default_rng([seed, int(row["range"])])
     d1, d0, (s1, s0) = sums["d1"], sums["d0"], STRENGTH
@@ -237,7 +261,7 @@ def _first_sums(counted: DataFrame) -> dict:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                pairs, counts = np.frombuffer(row["pairs"], "<i8"), np.frombuffer(row["counts"], "<i8")
+                pairs, counts = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8")
                 word, context = pairs // CONTEXTS, pairs % CONTEXTS
                 per_word, fan = np.bincount(word, counts, minlength=int(row["words"])), np.bincount(word, counts > 0, minlength=int(row["words"]))
                 size = lambda at: np.bincount(context[at], minlength=CONTEXTS)
@@ -289,26 +313,28 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", burn_i
         for batch in batches:
             for _, row in batch.iterrows():
                 mean, _ = run(row, sums, burn_in, samples, seed)
-                pairs, counts = np.frombuffer(row["pairs"], "<i8"), np.frombuffer(row["counts"], "<i8")
+                _trim()
+                pairs, counts = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8")
                 per_word = np.bincount(pairs // CONTEXTS, counts, minlength=int(row["words"])).astype("<u4")
                 value = np.log10(np.maximum(mean, 1e-300)).astype("<f4")
                 for block, of_pairs in zip(np.frombuffer(row["blocks"], "<i8"), row["of_pairs"]):
-                    places = np.frombuffer(of_pairs, "<u4")
+                    places = _joined(of_pairs, "<u4")
                     counts_of = per_word[pairs[places] // CONTEXTS].astype("<u4")
-                    yield pd.DataFrame({"block": [block], "range": [row["range"]], "counts": [counts_of.tobytes()], "logs": [value[places].tobytes()]})
+                    yield pd.DataFrame({"block": [block], "range": [row["range"]], "counts": [_planes(counts_of, "<u4")], "logs": [_planes(value[places], "<f4")]})
 
     answers = counted.mapInPandas(reply, "block long, range int, counts binary, logs binary")
     base = float(np.log10(sums["tokens"] + sums["distinct"] + 1))
     train = sums["tokens"]
 
     def total(key, block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        _trim()
         parts = parts.sort_values("range")
-        counts = np.frombuffer(b"".join(parts["counts"]), "<u4")
-        logs = np.frombuffer(b"".join(parts["logs"]), "<f4").astype(float)
+        counts = np.concatenate([_joined(x, "<u4") for x in parts["counts"]])
+        logs = np.concatenate([_joined(x, "<f4") for x in parts["logs"]]).astype(float)
         plain = np.log10(counts + 1.0) - base
         one = block.iloc[0]
         lengths = np.frombuffer(one["lengths"], np.int64)
-        pairs = np.frombuffer(one["pairs"], "<u4")
+        pairs = _joined(one["pairs"], "<u4")
         starts = np.cumsum(lengths) - lengths
         known = np.frombuffer(one["known"], np.uint8).astype(bool)
         return pd.DataFrame({
