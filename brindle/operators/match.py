@@ -169,6 +169,6 @@ def match_recognize(df: DataFrame, partition: list[str], order: list[Column], pa
         if all_rows:
             rest = part.drop(part.index[sorted({p[0] for p in picked})])[columns].assign(match_number=None, match_variable=None, match_row=None)
             out = pd.concat([out, rest]) if len(rest) else out
-        return out.astype({"match_number": "Int64", "match_row": "Int64"})
+        return out.astype({"match_number": "Int64", "match_variable": object, "match_row": "Int64"})
 
     return flags.groupBy(*partition).applyInPandas(run, kind)
