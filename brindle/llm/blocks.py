@@ -92,7 +92,7 @@ def chunked(order: np.ndarray, cuts: np.ndarray, size: int) -> np.ndarray:
 def search(rows: DataFrame, every: int, k: int, build: Callable[[np.ndarray, np.ndarray], object], answer: Callable[[object, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], kind: str, block_rows: int, group_rows: int) -> DataFrame:
     """The ``k`` best (``query_id``, ``rank``, ``vec_id``, ``score``) for the rows whose id ``every`` divides.
 
-    ``build(ids, vectors)`` makes a block's index; ``answer(index, ids, vectors)`` gives ids and scores for each query.
+    Rows that share such an id ask once, with the least of their vectors. ``build(ids, vectors)`` makes a block's index; ``answer(index, ids, vectors)`` gives ids and scores for each query.
     """
     spark = rows.sparkSession
     n = rows.count()
@@ -108,7 +108,8 @@ def search(rows: DataFrame, every: int, k: int, build: Callable[[np.ndarray, np.
 
     dealt = lambda many, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(many)).cast("int")
     indexes = written(rows.groupBy(dealt(blocks, 1).alias("block")).applyInPandas(index, "block int, index binary"), "indexes")
-    asked = rows.where(F.col("id") % every == 0).groupBy(dealt(groups, 2).alias("group")).applyInPandas(pack, "group int, queries binary")
+    questions = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
+    asked = questions.groupBy(dealt(groups, 2).alias("group")).applyInPandas(pack, "group int, queries binary")
     pairs = indexes.select("block", "index", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).join(asked.hint("shuffle_hash"), "group")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

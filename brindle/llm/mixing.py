@@ -61,6 +61,8 @@ def tree(leaves: dict[tuple, int]) -> Node:
 def budgets(leaves: dict[tuple, int], budget: float, weights: dict[tuple, float] | None = None, epochs: int = 1, temper: float = TEMPER) -> dict[tuple, int]:
     """The tokens of each leaf. ``weights`` has those of paths, also of inner nodes; others weigh their tokens to the power ``temper``."""
     weights, out = weights or {}, {}
+    if not leaves:
+        return out
 
     def pass_down(node: Node, path: tuple, amount: float) -> None:
         if not node.children:

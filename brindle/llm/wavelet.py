@@ -114,7 +114,9 @@ class Shard:
         total = int(self.planes[level][2][k])
         if rest:
             block = self._block(level, k)
-            total += int(np.bitwise_count(block[: rest // 8]).sum(dtype=np.int64)) + (int(block[rest // 8]) & ((1 << rest % 8) - 1)).bit_count() * bool(rest % 8)
+            total += int(np.bitwise_count(block[: rest // 8]).sum(dtype=np.int64))
+            if rest % 8:
+                total += (int(block[rest // 8]) & ((1 << rest % 8) - 1)).bit_count()
         return total
 
     def access(self, i: int) -> int:
