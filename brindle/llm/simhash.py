@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the least id that is reachable) of each row."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     marked = grouped(rows, words, max_bits)
-    least = marked.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    least = written(marked.groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")  # so that the join can split a hot group
     joined = marked.join(least, "group")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -219,6 +219,6 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wor
     roots = components(links(marks.select("fp").distinct(), max_bits))
     named = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("row", "id", F.coalesce("root", "fp").alias("group"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    chosen = named.groupBy("group").agg(F.min(order)["row"].alias("first"))
+    chosen = written(named.groupBy("group").agg(F.min(order)["row"].alias("first")), "chosen")  # so that the join can split a hot group
     gone = written(named.join(chosen, "group").where("row <> first").select(F.col("row").alias(row)), "gone")
     return kept.join(gone, row, "left_anti").select(*docs.columns)
