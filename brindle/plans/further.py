@@ -38,13 +38,13 @@ sql_query("sessions_by_window", "SELECT user_id, CAST(session_window.start AS TI
 
 @query("bound_parameters", "SELECT c_custkey FROM customer WHERE c_nationkey = 5 AND c_acctbal > 100.0")
 def bound_parameters(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "nation customer")
     return spark.sql("SELECT c_custkey FROM customer WHERE c_nationkey = :nation AND c_acctbal > :least", args={"nation": 5, "least": 100.0})
 
 
 @query("sample_repeatable")
 def sample_repeatable(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "orders")
     return spark.sql("SELECT o_orderkey FROM orders TABLESAMPLE (10 PERCENT) REPEATABLE (42)")
 
 
@@ -57,7 +57,7 @@ def result_pipe(spark, sf):
 
 @query("create_table_as", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
 def create_table_as(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "customer")
     path = scratch.folder(spark, "ctas")
     spark.sql("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey").write.parquet(path)
     return spark.read.parquet(path)
@@ -110,7 +110,7 @@ def partitioned_table_function(spark, sf):
             if self.n:
                 yield self.key, self.n, self.last
 
-    tables(spark, sf)
+    tables(spark, sf, "nation")
     spark.udtf.register("summary", Summary)
     return spark.sql("SELECT * FROM summary(TABLE(nation) PARTITION BY n_regionkey)")
 
@@ -134,7 +134,7 @@ def column_summary(spark, sf):
 @query("shortest_paths", "WITH RECURSIVE e(s, t) AS (SELECT s_suppkey, (s_suppkey * 5 + 1) % 10 FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT s_suppkey, (s_suppkey + 3) % 10 FROM supplier WHERE s_suppkey < 10), w(a, b, d) AS (SELECT s, t, 1 FROM e UNION SELECT w.a, e.t, w.d + 1 FROM w JOIN e ON e.s = w.b WHERE w.d < 9) SELECT a, b, min(d) AS d FROM w GROUP BY a, b")
 def shortest_paths(spark, sf):
     """All pairs over quantified paths of up to nine edges, the shortest of each."""
-    tables(spark, sf)
+    tables(spark, sf, "supplier")
     return spark.sql("""WITH RECURSIVE e AS (SELECT s_suppkey AS s, (s_suppkey * 5 + 1) % 10 AS t FROM supplier WHERE s_suppkey < 10 UNION SELECT s_suppkey, (s_suppkey + 3) % 10 FROM supplier WHERE s_suppkey < 10),
         w(a, b, d) AS (SELECT s, t, 1 FROM e UNION ALL SELECT w.a, e.t, w.d + 1 FROM w JOIN e ON e.s = w.b WHERE w.d < 9)
         SELECT a, b, min(d) AS d FROM w GROUP BY a, b""")

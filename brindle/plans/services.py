@@ -19,7 +19,7 @@ def split_classify(spark, sf):
 
 @query("lineage_rows", "SELECT * FROM (VALUES ('n_name', 'nation.n_name'), ('total', 'customer.c_acctbal'), ('total', 'customer.c_custkey')) AS t(output, source)")
 def lineage_rows(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "nation customer")
     return catalog.lineage(spark.sql("SELECT n_name, sum(c_acctbal + c_custkey) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"))
 
 
@@ -52,14 +52,14 @@ def masked_rows(spark, sf):
 
 @query("sql_udf", "SELECT n_nationkey, n_nationkey * n_nationkey + 1 AS v FROM nation")
 def sql_udf(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "nation")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION square_plus(x INT, y INT) RETURNS INT RETURN x * x + y")
     return spark.sql("SELECT n_nationkey, square_plus(n_nationkey, 1) AS v FROM nation")
 
 
 @query("sql_table_udf", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 def sql_table_udf(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "nation")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION series(n INT) RETURNS TABLE (k INT) RETURN SELECT explode(sequence(0, n)) AS k")
     return spark.sql("SELECT n_nationkey, n_name FROM nation, series(5) s WHERE s.k = 2 AND n_regionkey = s.k")
 
@@ -81,7 +81,7 @@ def custom_aggregate(spark, sf):
 
 @query("execute_immediate", "SELECT c_custkey FROM customer WHERE c_nationkey = 7")
 def execute_immediate(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "customer")
     return spark.sql("EXECUTE IMMEDIATE 'SELECT c_custkey FROM customer WHERE c_nationkey = :k' USING (7 AS k)")
 
 
@@ -93,7 +93,7 @@ def scripted_loop(spark, sf):
 
 @query("view_expansion", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def view_expansion(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "customer")
     spark.sql("CREATE OR REPLACE TEMP VIEW rich AS SELECT * FROM customer WHERE c_acctbal > 0")
     return spark.sql("SELECT c_nationkey, count(*) AS n FROM rich GROUP BY c_nationkey")
 
@@ -105,5 +105,5 @@ def table_statistics(spark, sf):
 
 @query("described_columns", "SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) AS t(col_name, data_type)")
 def described_columns(spark, sf):
-    tables(spark, sf)
+    tables(spark, sf, "region")
     return spark.sql("DESCRIBE region").select("col_name", "data_type")

@@ -32,7 +32,7 @@ def sql_query(name: str, spark_sql: str, oracle: str | None = None) -> None:
     from .session import tables
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables(spark, sf_dir)
+        tables(spark, sf_dir, spark_sql)
         return spark.sql(spark_sql)
 
     query(name, oracle or spark_sql)(run)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    """Name every table of the folder as a temporary view."""
+def tables(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
+    """Name the tables of the folder as temporary views; with ``text`` only those that it mentions."""
     for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        if text is None or re.search(rf"\b{name}\b", text, re.I):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
