@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -49,6 +50,14 @@ def written(df: DataFrame, name: str = "t", by: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory back, since the driver and the workers live on."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library has no such call
+        return
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,6 @@ further columns can have any name.
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, shuffle_parts, written
+from .common import crc_of_id, shuffle_parts, trim, written
 
 CONTEXTS = 64
 BLOCK_TOKENS = 1_000_000
@@ -61,14 +60,6 @@ def _joined(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(np.dtype(kind)).ravel()
 
 
-def _trim() -> None:
-    """Give freed memory back, since workers live on between tasks."""
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:  # another C library has no such call
-        return
-
-
 class _Numbers(dict):
     """Numbers for words in the order of their first use."""
 
@@ -136,11 +127,11 @@ def blocks(docs: DataFrame, ranges: int, block_tokens: int = BLOCK_TOKENS) -> Da
                 if total >= block_tokens:
                     yield _block(number, words, rows, ranges)
                     number, words, rows, total = number + 1, _Numbers(), [], 0
-                    _trim()
+                    trim()
         if rows:
             yield _block(number, words, rows, ranges)
             del words, rows
-            _trim()
+            trim()
 
     kinds = "block long, ids binary, known binary, held binary, lengths binary, pairs binary, requests array<struct<range:int,words:binary,fan:binary,contexts:binary,counts:binary>>"
     return docs.mapInArrow(tokenised, kinds)
@@ -165,7 +156,7 @@ def summed(made: DataFrame) -> DataFrame:
     """One row for each range: the counts of all blocks, and which places each block asked for."""
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _trim()
+        trim()
         rows = rows.sort_values("block")
         names, pairs, counts, of_pairs = _asked(rows)
         return pd.DataFrame({"range": [key[0]], "blocks": [rows["block"].to_numpy().astype("<i8").tobytes()], "words": [len(names)], "pairs": [_planes(pairs, "<i8")], "counts": [_planes(counts, "<i8")], "of_pairs": [[_planes(x, "<u4") for x in of_pairs]]})
@@ -313,7 +304,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", burn_i
         for batch in batches:
             for _, row in batch.iterrows():
                 mean, _ = run(row, sums, burn_in, samples, seed)
-                _trim()
+                trim()
                 pairs, counts = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8")
                 per_word = np.bincount(pairs // CONTEXTS, counts, minlength=int(row["words"])).astype("<u4")
                 value = np.log10(np.maximum(mean, 1e-300)).astype("<f4")
@@ -327,7 +318,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", burn_i
     train = sums["tokens"]
 
     def total(key, block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        _trim()
+        trim()
         parts = parts.sort_values("range")
         counts = np.concatenate([_joined(x, "<u4") for x in parts["counts"]])
         logs = np.concatenate([_joined(x, "<f4") for x in parts["logs"]]).astype(float)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, free_name
+from .common import crc_of_id, free_name, trim
 
 WINDOW = 48
 STRIDE = 32
@@ -49,9 +49,9 @@ BATCH = 4096
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word the row of its embedding; the rows of all its n-grams, with the words that they belong to."""
     rows = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORD_ROWS
-    data = np.frombuffer(b"".join([b"^" + w + b"$" for w in words]), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join([b"^" + w + b"$" for w in words]), np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     grams, owners = [], []
     for n in GRAMS:
         if len(data) < n:
@@ -61,8 +61,8 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             code = (code * 263 + data[k : len(data) - n + 1 + k]) & 0xFFFFFFFF
         inside = owner[: len(code)] == owner[n - 1 :]
         code = (code[inside] * 2654435761 + n * 40503) & 0xFFFFFFFF
-        grams.append((code >> 13) % GRAM_ROWS)
-        owners.append(owner[: len(inside)][inside])
+        grams.append(((code >> 13) % GRAM_ROWS).astype(np.int32))
+        owners.append(owner[: len(inside)][inside].astype(np.int32))
     if not grams:
         return rows, np.zeros(0, np.int64), np.zeros(0, np.int64)
     return rows, np.concatenate(grams), np.concatenate(owners)
@@ -99,7 +99,10 @@ class Network:
         """Inputs from the rows of words and of their n-grams."""
         n = len(rows)
         scale = 2 / np.sqrt(np.maximum(np.bincount(owners, minlength=n), 1))
-        return self.w["words"][rows] + _sums(self.w["grams"][grams], owners, n) * scale[:, None].astype(np.float32)
+        out = self.w["words"][rows]
+        for k, column in enumerate(self.w["grams"].T.copy()):  # one column at a time: words have many n-grams
+            out[:, k] += np.bincount(owners, column[grams], minlength=n) * scale
+        return out
 
     def run(self, inputs: np.ndarray, at: np.ndarray, lengths: np.ndarray, keep: bool = False):
         """Scores (logits) of windows. ``inputs``: rows of word inputs; ``at``: (windows, steps) row numbers, 0 is padding."""
@@ -188,10 +191,11 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 19
             at.append(ids[a:b] + [0] * (WINDOW - (b - a)))
             lengths.append(max(1, b - a))
             owner.append(k)
-    at, lengths, owner = np.array(at), np.array(lengths), np.array(owner)
+    at, lengths, owner = np.array(at, np.int32), np.array(lengths), np.array(owner)
     rows, grams, owners = _hashes([b"", *number])
     order = np.argsort(owners, kind="stable")
     grams, owners = grams[order], owners[order]
+    del order
     first = np.searchsorted(owners, np.arange(len(rows) + 1))
     label = y[owner]
     negative, positive = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
@@ -300,6 +304,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
 
 def train(docs: DataFrame, labels: DataFrame, **where) -> Network:
     rows = sample(docs, labels, **where)
+    net = _fitted(rows)
+    trim()
+    return net
+
+
+def _fitted(rows: pd.DataFrame) -> Network:
     return fit([t if isinstance(t, str) else "" for t in rows["text"]], rows["label"].astype(int).tolist())
 
 
