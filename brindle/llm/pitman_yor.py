@@ -1,10 +1,10 @@
 """A hierarchical Pitman-Yor language model: Chinese-restaurant seating by Gibbs sampling, averaged predictions.
 
-A token is a word or a text's end. The restaurant of a context serves the tokens that follow it; a context is the ending
-of the word before (``CONTEXTS`` classes by the hash of its last letters; one class for a text's start). All context
-restaurants share one parent, the root restaurant over tokens, whose base measure is uniform over the known tokens and
-one unknown token. A customer of a context's restaurant sits at a table of its dish or opens one, and each table is a
-customer of the parent.
+A token is a word or a text's end. The restaurant of a context serves the tokens that follow it; a context is the whole word
+before, or a text's start. Contexts whose words end alike (``CONTEXTS`` classes by the hash of the last letters; one class
+for a text's start) share a parent, and all classes share the root restaurant over tokens, whose base measure is uniform
+over the known tokens and one unknown token. A customer of a restaurant sits at a table of its dish or opens one, and each
+table is a customer of the parent.
 
 Three passes over tables in the shared folder, none of which holds more than one block or one range of words:
 
@@ -13,7 +13,9 @@ Three passes over tables in the shared folder, none of which holds more than one
 2. Ranges add up the counts of all blocks. Seating is sampled range by range, since a dish's tables in all contexts and
    at the root lie in one range: customers of small dishes are removed and reseated one by one with their tables' sizes,
    large dishes are reseated as a whole, in growing steps. What ranges share are the sums over all dishes of each
-   restaurant (customers, tables): a first run of sweeps finds them, a second one with these sums collects samples.
+   restaurant (customers, tables): a first run of sweeps finds them, a second one with these sums collects samples. Those
+   of the classes and the root are few; those of the contexts are added up by ranges of the contexts' hashes, and each
+   range of words gets back those of its own contexts.
 3. The average over samples of each pair's predictive probability goes back to the blocks that asked, in their order, and
    blocks add up the logarithms of each document's tokens.
 
@@ -43,10 +45,13 @@ BLOCK_TOKENS = 1_000_000
 BURN_IN = 2
 SAMPLES = 3
 SMALL = 8
-STRENGTH = (1.0, 1.0)
+#: Of the contexts, the classes and the root.
+STRENGTH = (1.0, 1.0, 1.0)
 SEED = 42
 #: Stands for a text's end; no word has this hash but by accident.
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Stands for a text's start as a context.
+START = np.uint64(0xFFFFFFFFFFFFFFFE)
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
@@ -68,12 +73,12 @@ class _Numbers(dict):
         return n
 
 
-def context_of(word: bytes) -> int:
-    """The class of the word before: by its last three bytes without marks."""
+def class_of(word: bytes) -> int:
+    """The class of a context: by its last three bytes without marks."""
     return 1 + zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % (CONTEXTS - 1)
 
 
-_REQUEST = pa.struct([("range", pa.int32()), ("words", pa.binary()), ("fan", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
+_REQUEST = pa.struct([("range", pa.int32()), ("words", pa.binary()), ("fan", pa.binary()), ("names", pa.binary()), ("classes", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("held", pa.binary()), ("lengths", pa.binary()), ("pairs", pa.binary()), ("requests", pa.list_(_REQUEST))])
 
 
@@ -85,8 +90,8 @@ def _block(number: int, words: _Numbers, docs: list, ranges: int) -> pa.RecordBa
     hashes = np.empty(n + 1, np.uint64)
     hashes[:n] = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, n)
     hashes[n] = END
-    after = np.zeros(n + 2, np.int64)  # the context that a word makes; at the end: a text's start
-    after[:n] = np.fromiter(map(context_of, words), np.int64, n)
+    after = np.zeros(n + 2, np.uint8)  # the class of a word as a context; at the end: a text's start
+    after[:n] = np.fromiter(map(class_of, words), np.uint8, n)
     order = np.argsort(hashes, kind="stable")
     place = np.empty(n + 1, np.int64)
     place[order] = np.arange(n + 1)
@@ -94,22 +99,24 @@ def _block(number: int, words: _Numbers, docs: list, ranges: int) -> pa.RecordBa
     tokens = np.concatenate([np.append(d[3], n) for d in docs])
     before = np.concatenate([[n + 1], tokens[:-1]])
     before[np.cumsum(lengths)[:-1]] = n + 1
-    codes = place[tokens] * CONTEXTS + after[before]
+    codes = place[tokens] * (n + 2) + before
     pairs, inverse = np.unique(codes, return_inverse=True)
     held = np.array([d[2] for d in docs], np.uint8)
     counts = np.bincount(inverse, np.repeat(1 - held, lengths), minlength=len(pairs)).astype("<u4")
-    word_of, context = pairs // CONTEXTS, (pairs % CONTEXTS).astype(np.uint8)
-    fan = np.bincount(word_of, minlength=n + 1).astype(np.uint8)
+    word_of, context = pairs // (n + 2), pairs % (n + 2)
+    fan = np.bincount(word_of, minlength=n + 1).astype("<u4")
     sorted_hashes = hashes[order]
     where = (sorted_hashes >> np.uint64(32)).astype(np.int64) * ranges >> 32
     cuts = np.searchsorted(where, np.arange(ranges + 1))
     ends = np.concatenate([[0], np.cumsum(fan, dtype=np.int64)])
+    names = np.append(hashes, START)
     requests = []
     for r in range(ranges):
         a, b = cuts[r], cuts[r + 1]
         if a < b:
             x, y = ends[a], ends[b]
-            requests.append({"range": r, "words": sorted_hashes[a:b].tobytes(), "fan": fan[a:b].tobytes(), "contexts": context[x:y].tobytes(), "counts": _planes(counts[x:y], "<u4")})
+            used, local = np.unique(context[x:y], return_inverse=True)
+            requests.append({"range": r, "words": sorted_hashes[a:b].tobytes(), "fan": _planes(fan[a:b], "<u4"), "names": names[used].tobytes(), "classes": after[used].tobytes(), "contexts": _planes(local, "<u4"), "counts": _planes(counts[x:y], "<u4")})
     row = {"block": number, "ids": np.array([d[0] for d in docs], "<i8").tobytes(), "known": np.array([d[1] for d in docs], np.uint8).tobytes(), "held": held.tobytes(), "lengths": lengths.tobytes(), "pairs": _planes(inverse, "<u4"), "requests": requests}
     return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
@@ -133,33 +140,32 @@ def blocks(docs: DataFrame, ranges: int, block_tokens: int = BLOCK_TOKENS) -> Da
             del words, rows
             trim()
 
-    kinds = "block long, ids binary, known binary, held binary, lengths binary, pairs binary, requests array<struct<range:int,words:binary,fan:binary,contexts:binary,counts:binary>>"
+    kinds = "block long, ids binary, known binary, held binary, lengths binary, pairs binary, requests array<struct<range:int,words:binary,fan:binary,names:binary,classes:binary,contexts:binary,counts:binary>>"
     return docs.mapInArrow(tokenised, kinds)
 
 
-def _asked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of one range: words, pair codes and training counts, and for each block its pairs' places."""
-    words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-    names, places = np.unique(np.concatenate(words), return_inverse=True)
-    cuts = np.cumsum([len(w) for w in words])[:-1]
-    of_words = np.split(places, cuts)
-    codes = [np.repeat(p, np.frombuffer(f, np.uint8)) * CONTEXTS + np.frombuffer(c, np.uint8) for p, f, c in zip(of_words, rows["fan"], rows["contexts"])]
-    pairs, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([_joined(x, "<u4") for x in rows["counts"]]), minlength=len(pairs)).astype(np.int64)
-    return names, pairs, counts, np.split(inverse, np.cumsum([len(c) for c in codes])[:-1])
+def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct numbers of all parts, where each is first, and the places of every part's numbers."""
+    names, first, places = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    return names, first, np.split(places, np.cumsum([len(x) for x in parts])[:-1])
 
 
-_RANGE = "range int, blocks binary, words long, pairs binary, counts binary, of_pairs array<binary>"
+_RANGE = "range int, blocks binary, words long, contexts binary, classes binary, pairs binary, counts binary, of_pairs array<binary>"
 
 
 def summed(made: DataFrame) -> DataFrame:
-    """One row for each range: the counts of all blocks, and which places each block asked for."""
+    """One row for each range: its contexts, the counts of all blocks, and which places each block asked for."""
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
         trim()
         rows = rows.sort_values("block")
-        names, pairs, counts, of_pairs = _asked(rows)
-        return pd.DataFrame({"range": [key[0]], "blocks": [rows["block"].to_numpy().astype("<i8").tobytes()], "words": [len(names)], "pairs": [_planes(pairs, "<i8")], "counts": [_planes(counts, "<i8")], "of_pairs": [[_planes(x, "<u4") for x in of_pairs]]})
+        words, _, of_words = _merged([np.frombuffer(x, np.uint64) for x in rows["words"]])
+        contexts, first, of_contexts = _merged([np.frombuffer(x, np.uint64) for x in rows["names"]])
+        classes = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["classes"]])[first]
+        codes = [np.repeat(w, _joined(f, "<u4")) * len(contexts) + c[_joined(x, "<u4")] for w, f, c, x in zip(of_words, rows["fan"], of_contexts, rows["contexts"])]
+        pairs, _, of_pairs = _merged(codes)
+        counts = np.bincount(np.concatenate(of_pairs), np.concatenate([_joined(x, "<u4") for x in rows["counts"]]), minlength=len(pairs)).astype(np.int64)
+        return pd.DataFrame({"range": [key[0]], "blocks": [rows["block"].to_numpy().astype("<i8").tobytes()], "words": [len(words)], "contexts": [contexts.tobytes()], "classes": [classes.tobytes()], "pairs": [_planes(pairs, "<i8")], "counts": [_planes(counts, "<i8")], "of_pairs": [[_planes(x, "<u4") for x in of_pairs]]})
 
     asked = made.select("block", F.inline("requests"))
     return asked.groupBy("range").applyInPandas(add, _RANGE)
@@ -220,70 +226,133 @@ class Seats:
         return tables
 
 
+class Pairs:
+    """The pairs of one range: of each its word and context, and of each (word, class) the same."""
+
+    def __init__(self, row: dict):
+        self.pairs, self.counts, self.words = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8"), int(row["words"])
+        self.names, classes = np.frombuffer(row["contexts"], np.uint64), np.frombuffer(row["classes"], np.uint8)
+        self.word, self.context = np.divmod(self.pairs, len(self.names))
+        mid, self.mid = np.unique(self.word * CONTEXTS + classes[self.context], return_inverse=True)
+        self.mid_word, self.mid_class = np.divmod(mid, CONTEXTS)
+
+    def up(self, tables: np.ndarray) -> np.ndarray:
+        """Customers of the (word, class) dishes."""
+        return np.bincount(self.mid, tables, minlength=len(self.mid_word))
+
+    def per_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, values, minlength=len(self.names))
+
+
 def run(row: dict, sums: dict, burn_in: int, samples: int, seed: int):
-    """Sweeps over one range. Yields the totals of tables, and the samples' mean of each pair's probability."""
-    pairs, counts = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8")
-    word, context, n = pairs // CONTEXTS, pairs % CONTEXTS, int(row["words"])
+    """Sweeps over one range. Yields the pairs, the samples' mean of their probabilities, and the totals of tables."""
+    p = Pairs(row)
+    customers, seated = (np.concatenate([_joined(x[k], "<i8") for x in row["shares"]]).astype(float) for k in ("customers", "tables"))
     draw = np.random.default_rng([seed, int(row["range"])])
-    d1, d0, (s1, s0) = sums["d1"], sums["d0"], STRENGTH
-    lift = (s1 + d1 * sums["tables"])[context]
+    d2, d1, d0, (s2, s1, s0) = sums["d2"], sums["d1"], sums["d0"], STRENGTH
+    lift = (s2 + d2 * seated)[p.context]
+    lift_mid, below = (s1 + d1 * sums["tables"])[p.mid_class], (s1 + sums["customers"])[p.mid_class]
     base, spread = 1.0 / (sums["distinct"] + 1), s0 + d0 * sums["root_tables"]
-    children, root = Seats(), Seats()
-    of_word = np.bincount(word, counts > 0, minlength=n)
+    children, middle, root = Seats(), Seats(), Seats()
+    of_mid = p.up(p.counts > 0)
+    mid_tables = (of_mid > 0).astype(np.float64)
+    of_word = np.bincount(p.mid_word, mid_tables, minlength=p.words)
     upper = (of_word > 0).astype(np.float64)
-    mean, totals = np.zeros(len(pairs)), [np.zeros(CONTEXTS), 0.0, 0.0]
+
+    def parents() -> tuple[np.ndarray, np.ndarray]:
+        top = ((np.maximum(of_word - d0 * upper, 0) + spread * base) / (s0 + sums["root_customers"]))[p.mid_word]
+        return top, (np.maximum(of_mid - d1 * mid_tables, 0) + lift_mid * top) / below
+
+    mean, of_contexts, totals = np.zeros(len(p.pairs)), np.zeros(len(p.names)), np.zeros(2 * CONTEXTS + 2)
     for k in range(burn_in + samples):
-        parent = (np.maximum(of_word - d0 * upper, 0) + spread * base) / (s0 + sums["root_customers"])
-        tables = children.sweep(counts, lift * parent[word], d1, draw, sticky=True)
-        of_word = np.bincount(word, tables, minlength=n)
-        upper = root.sweep(of_word.astype(np.int64), np.full(n, spread * base), d0, draw, sticky=False)
+        top, parent = parents()
+        tables = children.sweep(p.counts, lift * parent[p.mid], d2, draw, sticky=True)
+        of_mid = p.up(tables)
+        mid_tables = middle.sweep(of_mid.astype(np.int64), lift_mid * top, d1, draw, sticky=False)
+        of_word = np.bincount(p.mid_word, mid_tables, minlength=p.words)
+        upper = root.sweep(of_word.astype(np.int64), np.full(p.words, spread * base), d0, draw, sticky=False)
         if k >= burn_in:
-            parent = (np.maximum(of_word - d0 * upper, 0) + spread * base) / (s0 + sums["root_customers"])
-            mean += (np.maximum(counts - d1 * tables, 0) + lift * parent[word]) / (s1 + sums["customers"][context])
-            totals[0] += np.bincount(context, tables, minlength=CONTEXTS)
-            totals[1] += of_word.sum()
-            totals[2] += upper.sum()
-    return mean / samples, [t / samples for t in totals]
+            mean += (np.maximum(p.counts - d2 * tables, 0) + lift * parents()[1][p.mid]) / (s2 + customers)[p.context]
+            of_contexts += p.per_context(tables)
+            totals += np.concatenate([np.bincount(p.mid_class, of_mid, minlength=CONTEXTS), np.bincount(p.mid_class, mid_tables, minlength=CONTEXTS), [of_word.sum(), upper.sum()]])
+    return p, mean / samples, of_contexts / samples, totals / samples
+
+
+#: Of a range the sums of its contexts, cut by the ranges of their hashes; under owner -1 those of classes and root.
+_PART = "range int, owner int, names binary, customers binary, tables binary, totals array<double>"
+
+
+def _parts(number: int, p: Pairs, tables: np.ndarray, totals: np.ndarray, ranges: int) -> pd.DataFrame:
+    customers, owner = p.per_context(p.counts), (p.names >> np.uint64(32)).astype(np.int64) * ranges >> 32
+    cuts = np.searchsorted(owner, np.arange(ranges + 1))
+    rows = [(number, -1, None, None, None, totals.astype(float))]
+    rows += [(number, r, p.names[a:b].tobytes(), _planes(customers[a:b], "<i8"), _planes(tables[a:b], "<i8"), None) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    return pd.DataFrame(rows, columns=["range", "owner", "names", "customers", "tables", "totals"])
+
 
+def _totals(parts: DataFrame) -> np.ndarray:
+    """The sums of classes and root over all ranges."""
+    found = parts.where("owner = -1").select(F.posexplode("totals").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # a few times CONTEXTS rows
+    return np.array([r["x"] for r in sorted(found)])
 
-def _first_sums(counted: DataFrame) -> dict:
+
+def with_shares(counted: DataFrame, parts: DataFrame) -> DataFrame:
+    """``counted`` with ``shares``: for each range, the sums of its contexts over all ranges."""
+
+    def add(key, rows: pd.DataFrame) -> pd.DataFrame:
+        names, _, places = _merged([np.frombuffer(x, np.uint64) for x in rows["names"]])
+        out = rows[["range", "owner"]].copy()
+        for name in ("customers", "tables"):
+            whole = np.bincount(np.concatenate(places), np.concatenate([_joined(x, "<i8") for x in rows[name]]), minlength=len(names))
+            out[name] = [_planes(whole[x], "<i8") for x in places]
+        trim()
+        return out
+
+    sums = parts.where("owner >= 0").drop("totals").groupBy("owner").applyInPandas(add, "range int, owner int, customers binary, tables binary")
+    shares = sums.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("owner", "customers", "tables"))).alias("shares"))
+    return counted.join(shares, "range")
+
+
+def _first_parts(counted: DataFrame, ranges: int) -> tuple[DataFrame, dict]:
     """Customers and dishes of every restaurant; discounts from how many dishes have one and two customers."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                pairs, counts = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8")
-                word, context = pairs // CONTEXTS, pairs % CONTEXTS
-                per_word, fan = np.bincount(word, counts, minlength=int(row["words"])), np.bincount(word, counts > 0, minlength=int(row["words"]))
-                size = lambda at: np.bincount(context[at], minlength=CONTEXTS)
-                out = pd.DataFrame({"context": np.arange(CONTEXTS), "customers": np.bincount(context, counts, minlength=CONTEXTS).astype(np.int64), "dishes": size(counts > 0), "ones": size(counts == 1), "twos": size(counts == 2)})
-                out["words"] = out["word_ones"] = out["word_twos"] = 0
-                out.loc[0, ["words", "word_ones", "word_twos"]] = [(per_word > 0).sum(), (fan == 1).sum(), (fan == 2).sum()]
-                yield out
-
-    names = ["customers", "dishes", "ones", "twos", "words", "word_ones", "word_twos"]
-    found = counted.select("words", "pairs", "counts").mapInPandas(look, "context long, " + ", ".join(f"{x} long" for x in names))
-    rows = {r["context"]: r for r in found.groupBy("context").agg(*(F.sum(x).alias(x) for x in names)).collect()}  # CONTEXTS rows
-    vector = lambda name: np.array([rows[c][name] if c in rows else 0 for c in range(CONTEXTS)], float)
+                p = Pairs(row)
+                of_mid = p.up(p.counts > 0)
+                fan = np.bincount(p.mid_word, of_mid > 0, minlength=p.words)
+                few = [(x == k).sum() for x in (p.counts, of_mid, fan) for k in (1, 2)]
+                size = lambda x: np.bincount(p.mid_class, x, minlength=CONTEXTS)
+                yield _parts(row["range"], p, p.per_context(p.counts > 0), np.concatenate([size(of_mid), size(of_mid > 0), [fan.sum(), (fan > 0).sum(), p.counts.sum(), *few]]), ranges)
+                trim()
+
+    parts = written(counted.select("range", "words", "contexts", "classes", "pairs", "counts").mapInPandas(look, _PART), "parts")
+    found = _totals(parts)
+    if not len(found):
+        found = np.zeros(2 * CONTEXTS + 9)
     rate = lambda ones, twos: float(np.clip(ones / (ones + 2 * twos) if ones else 0.5, 0.05, 0.95))
-    d1 = rate(vector("ones").sum(), vector("twos").sum())
-    d0 = rate(vector("word_ones").sum(), vector("word_twos").sum())
-    return {"customers": vector("customers"), "tables": vector("dishes"), "distinct": int(vector("words").sum()), "tokens": int(vector("customers").sum()), "root_customers": vector("dishes").sum(), "root_tables": vector("words").sum(), "d1": d1, "d0": d0}
+    rest = found[2 * CONTEXTS :]
+    return parts, _sums(found) | {"distinct": int(rest[1]), "tokens": int(rest[2]), "d2": rate(*rest[3:5]), "d1": rate(*rest[5:7]), "d0": rate(*rest[7:9])}
 
 
-def _seated_sums(counted: DataFrame, sums: dict, sweeps: int, seed: int) -> dict:
-    """The restaurants' totals of tables after sweeps with the totals in ``sums``."""
+def _sums(found: np.ndarray) -> dict:
+    return {"customers": found[:CONTEXTS], "tables": found[CONTEXTS : 2 * CONTEXTS], "root_customers": found[2 * CONTEXTS], "root_tables": found[2 * CONTEXTS + 1]}
+
+
+def _seated_parts(counted: DataFrame, sums: dict, sweeps: int, seed: int, ranges: int) -> tuple[DataFrame, dict]:
+    """The restaurants' totals of tables after sweeps with the totals in ``sums`` and ``shares``."""
 
     def sit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                _, (tables, customers, upper) = run(row, sums, sweeps - 1, 1, seed)
-                yield pd.DataFrame({"context": np.arange(CONTEXTS + 2), "tables": [*tables, customers, upper]})
+                p, _, tables, totals = run(row, sums, sweeps - 1, 1, seed)
+                yield _parts(row["range"], p, tables, totals, ranges)
+                trim()
 
-    found = counted.select("range", "words", "pairs", "counts").mapInPandas(sit, "context long, tables double")
-    got = {r["context"]: r["tables"] for r in found.groupBy("context").agg(F.sum("tables").alias("tables")).collect()}  # CONTEXTS + 2 rows
-    tables = np.array([got.get(c, 0.0) for c in range(CONTEXTS)])
-    return sums | {"tables": tables, "root_customers": got.get(CONTEXTS, 0.0), "root_tables": got.get(CONTEXTS + 1, 0.0)}
+    parts = written(counted.mapInPandas(sit, _PART), "parts")
+    found = _totals(parts)
+    return parts, sums | (_sums(found) if len(found) else {})
 
 
 def held_out(id_column: str = "doc_id"):
@@ -298,22 +367,23 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", burn_i
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(id_column).alias("held_out"))
     made = written(blocks(rows, ranges), "blocks")
     counted = written(summed(made), "ranges")
-    sums = _seated_sums(counted, _first_sums(counted), burn_in + 1, seed)
+    light = counted.select("range", "words", "contexts", "classes", "pairs", "counts")
+    parts, sums = _first_parts(counted, ranges)
+    parts, sums = _seated_parts(with_shares(light, parts), sums, burn_in + 1, seed, ranges)
 
     def reply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                mean, _ = run(row, sums, burn_in, samples, seed)
+                p, mean, _, _ = run(row, sums, burn_in, samples, seed)
                 trim()
-                pairs, counts = _joined(row["pairs"], "<i8"), _joined(row["counts"], "<i8")
-                per_word = np.bincount(pairs // CONTEXTS, counts, minlength=int(row["words"])).astype("<u4")
+                per_word = np.bincount(p.word, p.counts, minlength=p.words).astype("<u4")
                 value = np.log10(np.maximum(mean, 1e-300)).astype("<f4")
                 for block, of_pairs in zip(np.frombuffer(row["blocks"], "<i8"), row["of_pairs"]):
                     places = _joined(of_pairs, "<u4")
-                    counts_of = per_word[pairs[places] // CONTEXTS].astype("<u4")
+                    counts_of = per_word[p.word[places]]
                     yield pd.DataFrame({"block": [block], "range": [row["range"]], "counts": [_planes(counts_of, "<u4")], "logs": [_planes(value[places], "<f4")]})
 
-    answers = counted.mapInPandas(reply, "block long, range int, counts binary, logs binary")
+    answers = with_shares(counted, parts).mapInPandas(reply, "block long, range int, counts binary, logs binary")
     base = float(np.log10(sums["tokens"] + sums["distinct"] + 1))
     train = sums["tokens"]
 

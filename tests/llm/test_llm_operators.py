@@ -149,6 +149,14 @@ def test_language_model_learns(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_whole_word_contexts(spark):
+    """All words that choose the next one end alike, so that only the whole word tells which it is."""
+    draw = random.Random(5)
+    texts = [(k, " ".join(w for i in draw.choices(range(16), k=60) for w in (f"{chr(97 + i)}zzz", f"{chr(97 + i)}yyy"))) for k in range(120)]
+    held = [r for r in pitman_yor.score(frame(spark, texts, False), ranges=3).collect() if r.held_out]
+    assert held and max(r.perplexity for r in held) < 8  # 4 is the source's own; 16 where contexts that end alike are one
+
+
 def test_language_model_empty(none):
     assert pitman_yor.score(none).count() == 0
 
