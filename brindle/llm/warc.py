@@ -8,7 +8,9 @@ shuffles otherwise, where a hot digest is a skewed join that can be split.
 Reading: archives are cut at fixed byte ranges that know nothing of records. Every task looks in its range for the magic
 of a record, reads the header there and emits a candidate and its successor's offset. Within a range the chain of every
 candidate is followed to where it leaves the range; then pointer jumping from the start of each file, doubling the
-stride at every round, marks the entries of ranges that are reached, and only records on those chains are kept. Magic
+stride at every round, marks the entries of ranges that are reached, and only records on those chains are kept. Headers
+are read on to their end, whatever their length, and reading fails unless every archive's chain ends at its last byte with
+as many records as its manifest says. Magic
 inside a payload starts no chain that the file's start reaches, so it is rejected.
 
 Nulls: a null html is an empty payload; a null page id is kept, sorts after all others and is never the response of a
@@ -38,7 +40,10 @@ RANGE_BYTES = 4 << 20
 #: Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
+#: What is read at once past a range; longer headers are read on.
 HEADER_BYTES = 1 << 16
+#: Says of a header that the bytes at hand do not hold its end.
+MORE = ({}, -1)
 FIXED_DATE = "2000-01-01T00:00:00Z"
 
 
@@ -101,26 +106,38 @@ def write(pages: DataFrame, id_column: str = "page_id", url: str = "url", html:
 
 
 def header(block: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """The fields of a header that starts at ``at`` and where its content starts; none if it is no header."""
-    end = block.find(END, at, at + HEADER_BYTES)
-    if end < 0 or not block.startswith(MAGIC, at):
+    """The fields of a header that starts at ``at`` and where its content starts; none if it is no header, or ``MORE``."""
+    if not block.startswith(MAGIC, at):
         return None
-    fields = {}
-    for line in block[at + len(MAGIC) : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields, here = {}, at + len(MAGIC)
+    while (end := block.find(b"\r\n", here)) != here:
+        if end < 0:
+            return MORE
+        name, colon, value = block[here:end].partition(b":")
         if not colon:
             return None
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        here = end + 2
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
         return None
-    return fields, end + len(END)
+    return fields, end + 2
 
 
-_CANDIDATE = "path string, low long, at long, next long, leaves long"
+def _whole_header(file, block: bytes, base: int, at: int, size: int) -> tuple[bytes, tuple[dict[str, str], int] | None]:
+    """``block``, which starts at ``base``, read on to the end of the header at ``at`` or of the file; and that header."""
+    step = HEADER_BYTES
+    while (head := header(block, at)) is MORE and base + len(block) < size:
+        file.seek(base + len(block))
+        block += file.read(min(step, size - base - len(block)))
+        step *= 2
+    return block, None if head is MORE else head
+
+
+_CANDIDATE = "path string, low long, at long, next long, leaves long, n long"
 
 
 def candidates(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Every offset that looks like a record's, its successor's, and where its chain leaves the range."""
+    """Every offset that looks like a record's, its successor's, where its chain leaves the range, and its records till there."""
     ranges = manifest.select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(range_bytes))).alias("low"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,18 +148,21 @@ def candidates(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                 with place.open_input_file(name) as file:
                     file.seek(low)
                     block = file.read(min(high + HEADER_BYTES, size) - low)
-                found, at = {}, block.find(MAGIC)
-                while 0 <= at < high - low:
-                    if (head := header(block, at)) is not None:
-                        after = low + head[1] + int(head[0]["content-length"]) + len(END)
-                        if after <= size:
-                            found[low + at] = after
-                    at = block.find(MAGIC, at + 1)
+                    found, at = {}, block.find(MAGIC)
+                    while 0 <= at < high - low:
+                        block, head = _whole_header(file, block, low, at, size)
+                        if head is not None:
+                            after = low + head[1] + int(head[0]["content-length"]) + len(END)
+                            if after <= size:
+                                found[low + at] = after
+                        at = block.find(MAGIC, at + 1)
                 leaves: dict[int, int] = {}
+                count: dict[int, int] = {}
                 for here in sorted(found, reverse=True):  # a chain that ends at no candidate leaves nowhere
                     after = found[here]
                     leaves[here] = after if after >= high or after not in found else leaves[after]
-                yield pd.DataFrame({"path": path, "low": low, "at": list(found), "next": list(found.values()), "leaves": [leaves[x] for x in found]})
+                    count[here] = 1 + count.get(after, 0)
+                yield pd.DataFrame({"path": path, "low": low, "at": list(found), "next": list(found.values()), "leaves": [leaves[x] for x in found], "n": [count[x] for x in found]})
 
     return written(ranges.repartition(shuffle_parts(manifest.sparkSession)).mapInPandas(scan, _CANDIDATE), "candidates")
 
@@ -165,10 +185,19 @@ def reached(found: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the chains did not end")
 
 
+def verify(manifest: DataFrame, found: DataFrame, entries: DataFrame) -> None:
+    """Fail unless the chain of every archive ends at its last byte and has as many records as its manifest says."""
+    ended = entries.join(found, ["path", "at"]).groupBy("path").agg(F.max("leaves").alias("end"), F.sum("n").alias("n"))
+    wrong = manifest.join(ended, "path", "left").where("NOT (end <=> n_bytes AND n <=> n_records)").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong.path}: the chain ends at {wrong.end} of {wrong.n_bytes} bytes with {wrong.n} of {wrong.n_records} records")
+
+
 def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The verified records: ``page_id``, ``url``, ``record_type``, ``payload_digest``, ``refers_to``, ``refers_to_record``, ``record_id``, ``payload``."""
     found = candidates(manifest, range_bytes)
     entries = reached(found)
+    verify(manifest, found, entries)
     ranges = entries.join(found.select("path", "at", "low"), ["path", "at"]).select("path", "low", F.col("at").alias("entry"))  # a chain enters a range once
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +212,7 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     file.seek(entry)
                     block, base, at = file.read(min(high + HEADER_BYTES, size) - entry), entry, entry
                     while at < high:
-                        fields, start = header(block, at - base)
+                        block, (fields, start) = _whole_header(file, block, base, at - base, size)
                         end = start + int(fields["content-length"])
                         if end > len(block):
                             file.seek(base + start)

@@ -63,6 +63,20 @@ def test_warc_digests(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("range_bytes", [50_000, 1 << 20])
+def test_warc_long_headers(spark, range_bytes):
+    rows = [(k, "é" * 15_000 if k == 2 else f"u{k}", f"page {k}", "d", 1) for k in range(6)]  # 90,000 bytes as written
+    got = warc.read(warc.write(pages(spark, rows).coalesce(1)), range_bytes=range_bytes).collect()
+    assert sorted((r.page_id, len(r.url), bytes(r.payload)) for r in got) == [(k, 90_000 if k == 2 else 2, f"page {k}".encode()) for k in range(6)]
+
+
+def test_warc_lost_records_fail(spark):
+    manifest = warc.write(pages(spark, [(1, "u", "one", "d", 1), (2, "u", "two", "d", 1)]))
+    for change in ({"n_records": F.col("n_records") + 1}, {"n_bytes": F.col("n_bytes") + 1}):
+        with pytest.raises(ValueError, match="the chain ends"):
+            warc.read(manifest.withColumns(change))
+
+
 def test_warc_empty(spark):
     assert warc.digests(warc.read(warc.write(pages(spark, [])))).count() == 0
 
