@@ -6,8 +6,8 @@ marks for the word's ends), so that unknown words with known stems have an input
 forward and a backward gated recurrent unit; attention weights pool their states, and a logistic unit scores the window.
 A text's score is that of its highest window.
 
-Training: at most ``most_docs`` labelled rows of each class, those with the smallest hash of their id, and of each at most
-``most_windows`` windows, spread evenly. A toxic text says only that some window is toxic, so after a first pass over all
+Training: at most ``most_docs`` labelled rows of each class, those with the smallest hash of their id, and of each all
+windows, which are cut when they are used. A toxic text says only that some window is toxic, so after a first pass over all
 windows a positive text teaches through its highest window; others teach through all. Adam, fixed seed, fixed steps.
 
 Nulls: a null or empty text is one window of no words and gets a score; a null label or id of a training row makes it no
@@ -38,8 +38,7 @@ GRAM_ROWS = 1 << 14
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
 MOST_DOCS = 1500
-STEPS = 320
-MOST_WINDOWS = 24
+STEPS = 480
 #: Words whose inputs a worker keeps.
 WORDS_KEPT = 200_000
 #: Window steps that a batch computes at once.
@@ -173,7 +172,7 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 192, most_windows: int = MOST_WINDOWS, seed: int = 7) -> Network:
+def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 192, seed: int = 7) -> Network:
     """Train on labelled texts."""
     net, r = Network(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -181,17 +180,22 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 19
         net.share = float(y.mean()) if len(y) else 0.5
         return net
     number: dict[bytes, int] = {}
-    at, lengths, owner = [], [], []
+    stream, spans, owner, base = [], [], [], 0
     for k, text in enumerate(texts):
-        ids = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
-        spans = windows(len(ids))
-        if len(spans) > most_windows:
-            spans = [spans[i] for i in np.linspace(0, len(spans) - 1, most_windows).astype(int)]
-        for a, b in spans:
-            at.append(ids[a:b] + [0] * (WINDOW - (b - a)))
-            lengths.append(max(1, b - a))
-            owner.append(k)
-    at, lengths, owner = np.array(at, np.int32), np.array(lengths), np.array(owner)
+        words = words_of(text)
+        stream.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int32, len(words)))
+        spans += [(base + a, b - a) for a, b in windows(len(words))]
+        owner += [k] * (len(spans) - len(owner))
+        base += len(words)
+    stream = np.concatenate([*stream, np.zeros(WINDOW, np.int32)])
+    start, sizes = np.array(spans).T
+    lengths, owner = np.maximum(1, sizes), np.array(owner)
+    del spans
+
+    def at(some) -> np.ndarray:
+        """The words of windows; 0 is padding."""
+        return np.where(np.arange(WINDOW) < sizes[some, None], stream[start[some, None] + np.arange(WINDOW)], 0)
+
     rows, grams, owners = _hashes([b"", *number])
     order = np.argsort(owners, kind="stable")
     grams, owners = grams[order], owners[order]
@@ -202,15 +206,15 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 19
     hard = negative
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
     for step in range(steps):
-        if step in (steps // 4, steps // 2, steps * 3 // 4):  # of a positive text the highest window, and the hardest others
+        if step >= steps // 4 and step % 60 == 0:  # of a positive text the highest window, and the hardest others
             inputs = net.inputs(rows, grams, owners)
-            score = np.concatenate([net.run(inputs, at[k : k + BATCH], lengths[k : k + BATCH]) for k in range(0, len(at), BATCH)])
+            score = np.concatenate([net.run(inputs, at(slice(k, k + BATCH)), lengths[k : k + BATCH]) for k in range(0, len(lengths), BATCH)])
             best = np.lexsort((score, owner))
             last = best[np.append(np.flatnonzero(np.diff(owner[best])), len(best) - 1)]
             positive = last[label[last] == 1]
             hard = negative[np.argsort(-score[negative])[: max(64, len(negative) // 20)]]
         pick = np.concatenate([r.choice(hard, batch // 4), r.choice(negative, batch // 4), r.choice(positive, batch // 2)])
-        used, local = np.unique(at[pick], return_inverse=True)
+        used, local = np.unique(at(pick), return_inverse=True)
         local = local.reshape(len(pick), WINDOW)
         if used[0] != 0:
             used, local = np.concatenate([[0], used]), local + 1

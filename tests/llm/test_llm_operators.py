@@ -345,6 +345,16 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def test_toxicity_learns_from_all_windows():
+    """The toxic passage of every text lies in the third of 41 windows alone."""
+    draw = random.Random(6)
+    texts = [draw.choices([f"w{k}" for k in range(200)], k=1300) for _ in range(60)]
+    for words in texts[::2]:
+        words[81:95] = ["blarg" + draw.choice(["o", "en", "ix", "um"]) for _ in range(14)]
+    scores = toxicity.Scorer(toxicity.fit([" ".join(w) for w in texts], [1, 0] * 30)).scores([" ".join(w) for w in texts])
+    assert min(scores[::2]) > 0.7 > max(scores[1::2])
+
+
 def test_toxicity_degenerate(spark, none):
     docs, labels = toxic_tables(spark)
     assert toxicity.toxicity(none, labels).count() == 0
