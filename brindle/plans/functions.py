@@ -58,9 +58,17 @@ def net_dialect(spark, sf):
 
 @query("json_edit", "SELECT event_id, '{\"k\":1,\"n\":{\"a\":2}}' AS s, '{}' AS r, 1 AS len, '{\"k\":null}' AS p FROM events WHERE event_id < 50")
 def json_edit(spark, sf):
+    return _json_edited(table(spark, sf, "events").where("event_id < 50"))
+
+
+@query("json_edit_all", "SELECT event_id, '{\"k\":1,\"n\":{\"a\":2}}' AS s, '{}' AS r, 1 AS len, '{\"k\":null}' AS p FROM events")
+def json_edit_all(spark, sf):
+    return _json_edited(table(spark, sf, "events"))
+
+
+def _json_edited(events):
     props = F.col("props")
-    some = table(spark, sf, "events").where("event_id < 50")
-    return some.select("event_id", D.json_set(D.json_set(props, "$.k", F.lit("1")), "$.n.a", F.lit("2")).alias("s"), D.json_remove(props, "$.k").alias("r"), F.size(F.json_object_keys(props)).alias("len"), D.json_set(props, "$.k", F.lit("null")).alias("p"))
+    return events.select("event_id", D.json_set(D.json_set(props, "$.k", F.lit("1")), "$.n.a", F.lit("2")).alias("s"), D.json_remove(props, "$.k").alias("r"), F.size(F.json_object_keys(props)).alias("len"), D.json_set(props, "$.k", F.lit("null")).alias("p"))
 
 
 @query("uuid_binary", "SELECT n_nationkey, lower(hex(unhex(md5(n_name)))) AS h FROM nation")
