@@ -57,10 +57,19 @@ def range_bucket_join(spark, sf):
 
 @query("partitioned_outer", "SELECT k.o_orderpriority, q.q, count(o.o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) k CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS q) q LEFT JOIN (SELECT *, quarter(o_orderdate) AS q FROM orders WHERE o_custkey % 10 = 1) o ON o.o_orderpriority = k.o_orderpriority AND o.q = q.q GROUP BY 1, 2")
 def partitioned_outer(spark, sf):
-    orders = table(spark, sf, "orders")
-    some = orders.where("o_custkey % 10 = 1").withColumn("q", F.quarter("o_orderdate")).select("o_orderpriority", "q", "o_orderkey")
-    keys = orders.select("o_orderpriority").distinct().join(spark.range(1, 5).select(F.col("id").cast("int").alias("q")))
-    return keys.join(some, ["o_orderpriority", "q"], "left").groupBy("o_orderpriority", "q").agg(F.count("o_orderkey").alias("n"))
+    return _per_quarter(spark, table(spark, sf, "orders"), F.when(F.expr("o_custkey % 10 = 1"), F.col("o_orderkey")))
+
+
+@query("partitioned_outer_all", "SELECT k.o_orderpriority, q.q, count(o.o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) k CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS q) q LEFT JOIN (SELECT *, quarter(o_orderdate) AS q FROM orders) o ON o.o_orderpriority = k.o_orderpriority AND o.q = q.q GROUP BY 1, 2")
+def partitioned_outer_all(spark, sf):
+    return _per_quarter(spark, table(spark, sf, "orders"), F.col("o_orderkey"))
+
+
+def _per_quarter(spark, orders, counted):
+    """Orders by priority and quarter over all combinations; rows count where ``counted`` is not null."""
+    facts = orders.select("o_orderpriority", F.quarter("o_orderdate").alias("q"), counted.alias("counted"))
+    quarters = spark.range(1, 5).select(F.col("id").cast("int").alias("q"))
+    return joins.densified(facts, ["o_orderpriority"], quarters, ["q"]).groupBy("o_orderpriority", "q").agg(F.count("counted").alias("n"))
 
 
 @query("lookup_array", "SELECT n_nationkey, coalesce(len(list(s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)), 0)::INT AS n, coalesce(array_to_string(list_sort(list(s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)), ','), '') AS keys FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")

@@ -9,6 +9,7 @@ from ..registry import sql_query
 
 sql_query("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
 sql_query("star_except", "SELECT * EXCEPT (o_totalprice, o_orderdate) FROM orders WHERE o_orderkey % 10 = 0", "SELECT * EXCLUDE (o_totalprice, o_orderdate) FROM orders WHERE o_orderkey % 10 = 0")
+sql_query("star_except_all", "SELECT * EXCEPT (o_totalprice, o_orderdate) FROM orders", "SELECT * EXCLUDE (o_totalprice, o_orderdate) FROM orders")
 sql_query("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 sql_query("values_inline", "SELECT v.id, v.label, n.n_name FROM (VALUES (1, 'one'), (2, 'two'), (7, 'seven')) AS v(id, label) LEFT JOIN nation n ON n.n_nationkey = v.id")
 sql_query("let_bindings", "SELECT c_custkey, half, half * 2 AS whole FROM (SELECT c_custkey, c_acctbal / 2 AS half FROM customer)")

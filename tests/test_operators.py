@@ -32,6 +32,12 @@ def test_greater_than_all_with_nulls(spark):
     assert len(rows(joins.greater_than_all(left, spark.createDataFrame([], "y int"), "x", "y"))) == 2
 
 
+def test_densified_keeps_all_facts(spark):
+    facts = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("b", 2, 12)], "k string, q int, v int")
+    made = joins.densified(facts, ["k"], spark.createDataFrame([(1,), (2,)], "q int"), ["q"]).select("k", "q", "v")
+    assert rows(made) == [("a", 1, 10), ("a", 1, 11), ("a", 2, None), ("b", 1, None), ("b", 2, 12)]
+
+
 def test_merge_refuses_two_sources(spark):
     target = spark.createDataFrame([(1, "a")], "k int, v string")
     source = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
