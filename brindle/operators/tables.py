@@ -103,6 +103,22 @@ def closure(edges: DataFrame, parent: str, child: str, start: DataFrame, most: i
     return seen
 
 
+def shortest(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """All pairs ``a``, ``b`` that a path of one or more edges joins, with the least number ``d`` of edges, to a fixpoint."""
+    from ..sources.scratch import checkpointed
+
+    links = checkpointed(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    steps = links.select(F.col("a").alias("__via"), F.col("b").alias("__next"))
+    seen = front = links.withColumn("d", F.lit(1))
+    depth = 1
+    while not front.isEmpty():
+        depth += 1
+        further = front.join(steps, F.col("b") == F.col("__via")).select("a", F.col("__next").alias("b")).distinct()
+        front = checkpointed(further.join(seen, ["a", "b"], "left_anti").withColumn("d", F.lit(depth)))
+        seen = checkpointed(seen.unionByName(front))
+    return seen
+
+
 # Row changes: each gives the table's new state
 
 

@@ -138,3 +138,12 @@ def shortest_paths(spark, sf):
     return spark.sql("""WITH RECURSIVE e AS (SELECT s_suppkey AS s, (s_suppkey * 5 + 1) % 10 AS t FROM supplier WHERE s_suppkey < 10 UNION SELECT s_suppkey, (s_suppkey + 3) % 10 FROM supplier WHERE s_suppkey < 10),
         w(a, b, d) AS (SELECT s, t, 1 FROM e UNION ALL SELECT w.a, e.t, w.d + 1 FROM w JOIN e ON e.s = w.b WHERE w.d < 9)
         SELECT a, b, min(d) AS d FROM w GROUP BY a, b""")
+
+
+@query("shortest_paths_all")
+def shortest_paths_all(spark, sf):
+    """All pairs over paths of any length from all suppliers; brute force in the tests stands for an oracle."""
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"))
+    n = suppliers.agg(F.count("*").alias("n"))
+    edges = suppliers.join(F.broadcast(n)).select("s", F.explode(F.array((F.col("s") * 5 + 1) % F.col("n"), (F.col("s") + 3) % F.col("n"))).alias("t"))  # one row
+    return T.shortest(edges, "s", "t")

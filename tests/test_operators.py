@@ -57,6 +57,20 @@ def test_closure_with_cycle(spark):
     assert rows(tables.closure(edges, "p", "c", spark.createDataFrame([(1,)], "node int"))) == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_shortest_paths_of_any_length(spark):
+    edges = [(k, k + 1) for k in range(11)] + [(11, 0), (3, 7), (20, 21), (21, 21), (None, 1)]
+    want = {}
+    for a in {s for s, _ in edges if s is not None}:
+        front, d = {a}, 0
+        while front:
+            d += 1
+            front = {t for s, t in edges if s in front and (a, t) not in want}
+            want |= {(a, t): d for t in front}
+    assert max(want.values()) > 9
+    made = tables.shortest(spark.createDataFrame(edges, "s int, t int"), "s", "t")
+    assert rows(made.select("a", "b", "d")) == sorted(((a, b, d) for (a, b), d in want.items()), key=repr)
+
+
 def test_fetch_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int")
     assert rows(tables.fetch_with_ties(df, 1, ["x"])) == [(1,), (1,)]
