@@ -269,7 +269,7 @@ def aggregate(df: DataFrame, pipeline: list[Document], tables: dict[str, DataFra
 
             other = tables[spec["from"]]
             roots = df.select(expression(spec["startWith"]).alias("node"))
-            df = closure(other.where(F.col(spec["connectToField"]).isNotNull()), spec["connectFromField"], spec["connectToField"], roots, spec.get("maxDepth", 64))
+            df = closure(other.where(F.col(spec["connectToField"]).isNotNull()), spec["connectFromField"], spec["connectToField"], roots, spec.get("maxDepth"))
         elif op == "$unionWith":
             other = tables[spec if isinstance(spec, str) else spec["coll"]]
             df = df.unionByName(aggregate(other, [] if isinstance(spec, str) else spec.get("pipeline", []), tables), allowMissingColumns=True)

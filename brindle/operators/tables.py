@@ -83,8 +83,8 @@ def corresponding(parts: list[DataFrame], on: list[str] | None = None) -> DataFr
 # Hierarchies
 
 
-def closure(edges: DataFrame, parent: str, child: str, start: DataFrame, most: int = 64) -> DataFrame:
-    """Distinct reachability from the ``node`` of ``start``: ``node`` and the least ``depth``, to a fixpoint.
+def closure(edges: DataFrame, parent: str, child: str, start: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct reachability from the ``node`` of ``start``: ``node`` and the least ``depth``, to a fixpoint or, if given, depth ``most``.
 
     The UNION (distinct) form of a recursive query, which Spark SQL lacks. Every round's frontier is checkpointed, so plans
     stay short and no executor has the only copy.
@@ -94,7 +94,9 @@ def closure(edges: DataFrame, parent: str, child: str, start: DataFrame, most: i
     links = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c"))
     seen = checkpointed(start.select(F.col("node"), F.lit(0).alias("depth")).distinct())
     front = seen
-    for depth in range(1, most + 1):
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
         new = front.join(links, F.col("node") == F.col("__p")).select(F.col("__c").alias("node")).distinct().join(seen, "node", "left_anti")
         front = checkpointed(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():

@@ -71,6 +71,16 @@ def test_shortest_paths_of_any_length(spark):
     assert rows(made.select("a", "b", "d")) == sorted(((a, b, d) for (a, b), d in want.items()), key=repr)
 
 
+def test_closure_of_a_long_chain(spark, monkeypatch):
+    from brindle.sources import scratch
+
+    monkeypatch.setattr(scratch, "checkpointed", lambda df: spark.createDataFrame(df.coalesce(1).collect(), df.schema).coalesce(1))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "p int, c int")
+    start = spark.createDataFrame([(0,)], "node int")
+    assert rows(tables.closure(edges, "p", "c", start)) == sorted(((k, k) for k in range(67)), key=repr)
+    assert rows(tables.closure(edges, "p", "c", start, 2)) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_fetch_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int")
     assert rows(tables.fetch_with_ties(df, 1, ["x"])) == [(1,), (1,)]
