@@ -6,11 +6,14 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+#: Of a worker: the one thing that it keeps from task to task.
+_kept: dict[Hashable, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +61,15 @@ def trim() -> None:
         return
 
 
+def kept(key: Hashable, make: Callable):
+    """What a worker keeps from task to task under ``key``; what it kept under another key goes first."""
+    if key not in _kept:
+        _kept.clear()
+        trim()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

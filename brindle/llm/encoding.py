@@ -1,44 +1,52 @@
-"""Token ids as the tokenizers library gives them, with repeated units encoded once.
+"""Token ids as the tokenizers library gives them, with repeated words encoded once.
 
-The library's own normaliser, pre-tokeniser and model do the work; between them sit two bounded caches in each Python
-worker. A text is cut at spaces, where none of the supported pre-tokenisers lets a token cross: units seen before come
-from the first cache, the words of new units from the second, and only new words reach the library's model. A text that
-holds a special string, or anything else for which a cut could matter, goes to the library whole.
+The library's own normaliser, pre-tokeniser and model do the work; between them sits a bounded cache in each Python worker.
+A text of plain letters, digits, marks and single spaces is cut into words here, as the pre-tokeniser would cut it, which is
+checked by their lengths; only words that the cache does not have reach the library's model. Other texts go through the
+library's normaliser and pre-tokeniser, and a text that holds a special string goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-UNITS = 250_000
-WORDS = 600_000
-#: Letters below this one are their own composed form and have one lower-case letter, or else are no longer only letters.
-PLAIN = "\u0250"
-#: Marks that end a word and are a word of their own.
-STOPS = frozenset(".,;:!?|")
+from .common import kept
 
-#: Of a worker process: tokenizers by path.
-_encoders: dict[str, Encoder] = {}
+#: Bytes of the cache of words.
+WORDS = 160 << 20
+#: Bytes that an entry takes besides its letters and ids.
+ENTRY = 200
+#: Letters that are their own composed form; where lower-casing one gives other characters, its text goes to the library.
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MARK = r"!-/:-@\[-`{-~"
+#: Fixed values of the pre-tokenisers: endings that are words.
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
 class TwoAges(dict):
-    """A cache of at most twice ``most`` entries: when the young age is full it becomes the old one."""
+    """A cache of about ``most`` bytes: when the young age has half of them it becomes the old one."""
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.size, self.old = make, most // 2, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
+        cost = ENTRY + 2 * len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if cost * 64 > self.most:
+            return value
+        if self.size + cost > self.most:
             self.old = dict(self)
             self.clear()
+            self.size = 0
+        self.size += cost
         self[key] = value
         return value
 
@@ -55,95 +63,44 @@ class _Spelt(dict):
         return spelt
 
 
-class _Whole(Exception):
-    """The text can't be cut."""
-
-
-class _Merge(Exception):
-    """The text has units that begin with white space."""
-
-
 class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` has them."""
 
-    def __init__(self, path: str, units: int = UNITS, words: int = WORDS):
+    def __init__(self, path: str, words: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         cut = self.library.pre_tokenizer.pre_tokenize_str
+        self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
         self.spaced = cut(" b")[0][0] != cut("b")[0][0]  # a word takes the space before it along
-        self.head = cut(" b")[0][0][:-1]
+        space, digits = " ?" if self.spaced else "", "[0-9]" if len(cut("12")) > 1 else "[0-9]+"
+        lines = "|\n+(?=\n[^\\s])|\n(?=[^\\s])" if self.spaced else ""  # the last new line before a word stands alone
+        self.cuts = re.compile(f"{space}[{LETTER}]+|{ENDINGS}|{space}{digits}|{space}[{MARK}]+{lines}").findall
         self.spelt = _Spelt(cut)
-        self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.words = TwoAges(self._word, words)
-        self.letters = TwoAges(self._letters, words)
-        self.units = TwoAges(self._unit, units)
-        self.raw = TwoAges(self._raw, 1000)
+        self.words = TwoAges(lambda word: self._word(word.translate(self.spelt)), words * 3 // 4)
+        self.others = TwoAges(self._word, words // 4)
 
     def _word(self, word: str) -> bytes:
+        """The ids of one word of the pre-tokeniser."""
         return array(self.code, [t.id for t in self.library.model.tokenize(word)]).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """The ids of letters alone, after a space where the words take it along: one word of the pre-tokeniser."""
-        return self._word(self.head + word.translate(self.spelt))
-
-    def _raw(self, unit: str) -> bytes:
-        """The ids of a unit as it stands."""
-        if "<" in unit and any(s in unit for s in self.specials):
-            raise _Whole
-        if self.library.normalizer is not None:
-            unit = self.library.normalizer.normalize_str(unit)
-        words = self.words
-        return b"".join([words[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)])
-
-    def _unit(self, unit: str) -> bytes:
-        """The ids of a unit that follows a space."""
-        if not unit or unit[0].isspace():
-            if self.spaced:
-                raise _Merge
-            return self._raw(unit) if unit else b""
-        word = unit[:-1] if unit[-1] in STOPS else unit
-        if word.isascii() or max(word) < PLAIN:
-            if self.lower:
-                word = word.lower()
-            if word.isalpha():
-                return self.letters[word] + self.words[unit[-1]] if unit[-1] in STOPS else self.letters[word]
-        return self._raw(" " + unit if self.spaced else unit)
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
-        units = text.split(" ")
-        try:
-            if not self.spaced:
-                return np.frombuffer(b"".join(map(self.units.__getitem__, units)), self.kind)
-            try:
-                head = self.raw[units[0]] if units[0] else b""
-                if not units[0] and len(units) > 1 and not units[1]:
-                    raise _Merge
-                return np.frombuffer(head + b"".join(map(self.units.__getitem__, units[1:])), self.kind)
-            except _Merge:
-                return np.frombuffer(b"".join(self._merged(units)), self.kind)
-        except _Whole:
+        plain = text.lower() if self.lower else text
+        if any(s in text or s in plain for s in self.specials):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
-
-    def _merged(self, units: list[str]) -> list[bytes]:
-        """A space starts a unit only if something other than white space follows it."""
-        out, now = [], units[0]
-        for unit in units[1:]:
-            if unit and not unit[0].isspace():
-                out.append(now)
-                now = " " + unit
-            else:
-                now += " " + unit
-        return [self.units[x[1:]] if x[0] == " " and x[1:2].strip() and " " not in x[1:] else self._raw(x) for x in (*out, now) if x]
+        words, ids = self.cuts(plain), self.words
+        if sum(map(len, words)) + (0 if self.spaced else plain.count(" ") + plain.count("\n")) != len(plain):
+            whole = text if self.library.normalizer is None else self.library.normalizer.normalize_str(text)
+            words, ids = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(whole)], self.others
+        return np.frombuffer(b"".join(map(ids.__getitem__, words)), self.kind)
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A worker's encoder; it goes when the worker turns to something else."""
+    return kept(("encoder", path), lambda: Encoder(path))

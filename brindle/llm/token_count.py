@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
 from .encoding import TwoAges
 
 LIMIT = 4096
 #: The library's word mark.
 MARK = "▁"
-UNITS = 400_000
-
-_counters: dict[str, Counter] = {}
+#: Bytes of each of the two caches of units.
+UNITS = 96 << 20
 
 
 class Counter:
@@ -103,7 +103,7 @@ class Counter:
     def of(self) -> TwoAges:
         """Counts of units after one mark, by what follows the mark."""
         if "_of" not in self.__dict__:
-            self._of = TwoAges(lambda unit: self.merged(MARK + unit), self.units.most)
+            self._of = TwoAges(lambda unit: self.merged(MARK + unit), 2 * self.units.most)
         return self._of
 
 
@@ -113,9 +113,7 @@ def sentencepiece_model_pb2_types(form) -> dict[str, int]:
 
 
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return kept(("counter", path), lambda: Counter(path))
 
 
 def n_tokens(text: Column, model: str) -> Column:

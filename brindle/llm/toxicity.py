@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, free_name, trim
+from .common import crc_of_id, free_name, kept, trim
 
 WINDOW = 48
 STRIDE = 32
@@ -317,23 +317,20 @@ def _fitted(rows: pd.DataFrame) -> Network:
     return fit([t if isinstance(t, str) else "" for t in rows["text"]], rows["label"].astype(int).tolist())
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(text: Column, net: Network) -> Column:
     """The score of a text column, 0 to 1."""
     data = base64.b64encode(zlib.compress(pickle.dumps((net.w, net.share, net.dim, net.hidden)))).decode()
 
+    def made() -> Scorer:
+        own = Network()
+        own.w, own.share, own.dim, own.hidden = pickle.loads(zlib.decompress(base64.b64decode(data)))
+        return Scorer(own)
+
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = zlib.crc32(data.encode())
-        if key not in _scorers:
-            own = Network()
-            own.w, own.share, own.dim, own.hidden = pickle.loads(zlib.decompress(base64.b64decode(data)))
-            _scorers.clear()
-            _scorers[key] = Scorer(own)
+        scorer = kept(("scorer", zlib.crc32(data.encode())), made)
         for part in parts:
-            yield pd.Series(_scorers[key].scores([x if isinstance(x, str) else None for x in part]))
+            yield pd.Series(scorer.scores([x if isinstance(x, str) else None for x in part]))
 
     return scored(text)
 

@@ -47,11 +47,11 @@ def build(ids: np.ndarray, levels: int) -> tuple[list[int], list[bytes]]:
     """The zeros and the packed bits of each level."""
     zeros, planes = [], []
     for level in range(levels - 1, -1, -1):
-        ones = (ids >> ids.dtype.type(level)) & ids.dtype.type(1) != 0
+        ones = (ids & ids.dtype.type(1 << level)).astype(bool)
         planes.append(np.packbits(ones, bitorder="little").tobytes())
-        none = ids[~ones]
+        none = ids.take(np.flatnonzero(~ones))
         zeros.append(len(none))
-        ids = np.concatenate([none, ids[ones]])
+        ids = np.concatenate([none, ids.take(np.flatnonzero(ones))])
     return zeros, planes
 
 
@@ -169,8 +169,8 @@ class Shard:
             raw = b"".join(zstandard.ZstdDecompressor().decompress(self.data[at + a : at + b]) for a, b in zip(places, places[1:]))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty_like(now)
-            out[~ones] = now[: self.zeros[level]]
-            out[ones] = now[self.zeros[level] :] | kind.type(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            out[np.flatnonzero(ones)] = now[self.zeros[level] :] | kind.type(1 << (self.levels - 1 - level))
             now = out
         return now
 
