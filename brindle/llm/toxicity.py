@@ -41,8 +41,10 @@ MOST_DOCS = 1500
 STEPS = 480
 #: Words whose inputs a worker keeps.
 WORDS_KEPT = 200_000
-#: Window steps that a batch computes at once.
-BATCH = 4096
+#: Windows that are computed at once.
+BATCH = 2048
+#: Words whose windows are prepared together.
+GROUP_WORDS = STRIDE * 4096
 
 
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,10 +70,19 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sums(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``values`` added up by owner."""
-    out = np.empty((n, values.shape[1]), np.float32)
-    for k in range(values.shape[1]):
-        out[:, k] = np.bincount(owners, values[:, k], minlength=n)
+    """Columns of ``values`` (rows, entries) added up by owner: (n, rows)."""
+    out = np.empty((n, len(values)), np.float32)
+    for k, row in enumerate(values):
+        out[:, k] = np.bincount(owners, row, minlength=n)
+    return out
+
+
+def _runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rows of ``values`` added up over consecutive runs of ``counts`` rows; a run can be empty."""
+    out = np.zeros((len(counts), *values.shape[1:]), values.dtype)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
     return out
 
 
@@ -96,64 +107,75 @@ class Network:
 
     def inputs(self, rows: np.ndarray, grams: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """Inputs from the rows of words and of their n-grams."""
-        n = len(rows)
-        scale = 2 / np.sqrt(np.maximum(np.bincount(owners, minlength=n), 1))
-        out = self.w["words"][rows]
+        count = np.bincount(owners, minlength=len(rows))
+        if np.any(owners[1:] < owners[:-1]):
+            grams = grams[np.argsort(owners, kind="stable")]
+        out, scale = self.w["words"][rows], 2 / np.sqrt(np.maximum(count, 1))
         for k, column in enumerate(self.w["grams"].T.copy()):  # one column at a time: words have many n-grams
-            out[:, k] += np.bincount(owners, column[grams], minlength=n) * scale
+            out[:, k] += _runs(column[grams], count) * scale
         return out
 
-    def run(self, inputs: np.ndarray, at: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        """Scores (logits) of windows. ``inputs``: rows of word inputs; ``at``: (windows, steps) row numbers, 0 is padding."""
+    def gates(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
+        """What the gates of both directions take from each row of word inputs."""
+        return {d: inputs @ self.w[f"x{d}"] + self.w[f"c{d}"] for d in "fb"}
+
+    def run(self, gates: dict[str, np.ndarray], at: np.ndarray, lengths: np.ndarray, keep: bool = False):
+        """Scores (logits) of windows. ``at``: (windows, steps) row numbers of ``gates``; what lies beyond ``lengths`` has no effect.
+
+        States are kept as (units, windows), so that each gate's numbers lie together.
+        """
         n, steps = at.shape
-        h, states, memory = self.hidden, {}, {}
-        live = np.arange(steps)[None, :] < lengths[:, None]
-        for d in "fb":
-            gates = inputs @ self.w[f"x{d}"] + self.w[f"c{d}"]
-            state, all_states, kept = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32), []
+        h, memory = self.hidden, {}
+        live = np.arange(steps)[:, None] < lengths
+        full = int(lengths.min()) if n else 0
+        both = np.empty((steps, 2 * h, n), np.float32)
+        across = np.ascontiguousarray(at.T)
+        for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            taken = np.ascontiguousarray(gates[d][across].transpose(0, 2, 1))
+            turn = np.ascontiguousarray(self.w[f"h{d}"].T)
+            state, kept_ = np.zeros((h, n), np.float32), []
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                x, y = gates[at[:, t]], state @ self.w[f"h{d}"]
-                zr = _sigmoid(x[:, : 2 * h] + y[:, : 2 * h])
-                z, r = zr[:, :h], zr[:, h:]
-                new = np.tanh(x[:, 2 * h :] + r * y[:, 2 * h :])
-                on = live[:, t, None]
+                x, y = taken[t], turn @ state
+                zr = _sigmoid(x[: 2 * h] + y[: 2 * h])
+                z, r = zr[:h], zr[h:]
+                new = np.tanh(x[2 * h :] + r * y[2 * h :])
                 if keep:
-                    kept.append((t, state, z, r, y[:, 2 * h :], new, on))
-                state = np.where(on, z * state + (1 - z) * new, state)
-                all_states[t] = state
-            states[d], memory[d] = all_states, kept
-        both = np.concatenate([states["f"], states["b"]], axis=2)
-        weight = np.where(live.T, both @ self.w["a"], -1e9)
+                    kept_.append((t, state, z, r, y[2 * h :], new))
+                after = new + z * (state - new)
+                state = after if t < full else np.where(live[t], after, state)
+                both[t, part] = state
+            memory[d] = kept_
+        weight = np.where(live, self.w["a"] @ both, -1e9)
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
-        pooled = np.einsum("tn,tnh->nh", weight, both)
-        logit = pooled @ self.w["out"] + self.w["bias"][0]
+        pooled = np.einsum("tn,thn->hn", weight, both)
+        logit = self.w["out"] @ pooled + self.w["bias"][0]
         return (logit, (both, weight, pooled, memory, live)) if keep else logit
 
     def gradients(self, inputs, at, lengths, label, each) -> dict[str, np.ndarray]:
         """Gradients of the weighted logistic loss; under ``inputs`` that of the rows of word inputs."""
-        logit, (both, weight, pooled, memory, live) = self.run(inputs, at, lengths, keep=True)
+        logit, (both, weight, pooled, memory, live) = self.run(self.gates(inputs), at, lengths, keep=True)
         h, w = self.hidden, self.w
         dl = ((_sigmoid(logit) - label) * each / each.sum()).astype(np.float32)
-        g = {"out": pooled.T @ dl, "bias": np.array([dl.sum()], np.float32), "inputs": np.zeros_like(inputs)}
-        dp = dl[:, None] * w["out"]
-        dw = np.einsum("nh,tnh->tn", dp, both)
+        g = {"out": pooled @ dl, "bias": np.array([dl.sum()], np.float32), "inputs": np.zeros_like(inputs)}
+        dp = w["out"][:, None] * dl
+        dw = np.einsum("hn,thn->tn", dp, both)
         da = weight * (dw - (weight * dw).sum(axis=0))
-        g["a"] = np.einsum("tn,tnh->h", da, both)
-        dboth = weight[:, :, None] * dp[None] + da[:, :, None] * w["a"]
+        g["a"] = np.einsum("tn,thn->h", da, both)
+        dboth = weight[:, None, :] * dp + da[:, None, :] * w["a"][:, None]
         for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             steps = []
-            gh, carry = np.zeros_like(w[f"h{d}"]), np.zeros((len(label), h), np.float32)
-            for t, state, z, r, y, new, on in reversed(memory[d]):
-                ds = carry + dboth[t, :, part]
-                live_ds = np.where(on, ds, 0)
+            gh, carry = np.zeros_like(w[f"h{d}"]), np.zeros((h, len(label)), np.float32)
+            for t, state, z, r, y, new in reversed(memory[d]):
+                ds = carry + dboth[t, part]
+                live_ds = np.where(live[t], ds, 0)
                 dz, dn = live_ds * (state - new) * z * (1 - z), live_ds * (1 - z) * (1 - new**2)
                 dr = dn * y * r * (1 - r)
-                dy = np.concatenate([dz, dr, dn * r], axis=1)
-                steps.append((at[:, t], np.concatenate([dz, dr, dn], axis=1)))
-                gh += state.T @ dy
-                carry = np.where(on, live_ds * z, ds) + dy @ w[f"h{d}"].T
-            dx_all = _sums(np.concatenate([x for _, x in steps]), np.concatenate([x for x, _ in steps]), len(inputs))
+                dy = np.concatenate([dz, dr, dn * r])
+                steps.append((at[:, t], np.concatenate([dz, dr, dn])))
+                gh += state @ dy.T
+                carry = np.where(live[t], live_ds * z, ds) + w[f"h{d}"] @ dy
+            dx_all = _sums(np.concatenate([x for _, x in steps], axis=1), np.concatenate([x for x, _ in steps]), len(inputs))
             dx_all[0] = 0
             g[f"h{d}"], g[f"c{d}"], g[f"x{d}"] = gh, dx_all.sum(axis=0), inputs.T @ dx_all
             g["inputs"] += dx_all @ w[f"x{d}"].T
@@ -203,12 +225,15 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 19
     first = np.searchsorted(owners, np.arange(len(rows) + 1))
     label = y[owner]
     negative, positive = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
-    hard = negative
+    hard, by_length = negative, np.argsort(lengths, kind="stable")
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
     for step in range(steps):
         if step >= steps // 4 and step % 60 == 0:  # of a positive text the highest window, and the hardest others
-            inputs = net.inputs(rows, grams, owners)
-            score = np.concatenate([net.run(inputs, at(slice(k, k + BATCH)), lengths[k : k + BATCH]) for k in range(0, len(lengths), BATCH)])
+            gates = net.gates(net.inputs(rows, grams, owners))
+            score = np.empty(len(lengths), np.float32)
+            for k in range(0, len(lengths), BATCH):
+                some = by_length[k : k + BATCH]
+                score[some] = net.run(gates, at(some), lengths[some])
             best = np.lexsort((score, owner))
             last = best[np.append(np.flatnonzero(np.diff(owner[best])), len(best) - 1)]
             positive = last[label[last] == 1]
@@ -219,13 +244,12 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 19
         if used[0] != 0:
             used, local = np.concatenate([[0], used]), local + 1
         count = first[used + 1] - first[used]
-        own = np.repeat(np.arange(len(used)), count)
         flat = grams[np.repeat(first[used] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
         scale = (2 / np.sqrt(np.maximum(count, 1)))[:, None].astype(np.float32)
-        inputs = net.w["words"][rows[used]] + _sums(net.w["grams"][flat], own, len(used)) * scale
+        inputs = net.w["words"][rows[used]] + _runs(net.w["grams"][flat], count) * scale
         g = net.gradients(inputs, local, lengths[pick], label[pick], np.ones(len(pick), np.float32))
         dx = g.pop("inputs")
-        g["words"], g["grams"] = _sums(dx, rows[used], WORD_ROWS), _sums((dx * scale)[own], flat, GRAM_ROWS)
+        g["words"], g["grams"] = _sums(dx.T, rows[used], WORD_ROWS), _sums(np.repeat((dx * scale).T, count, axis=1), flat, GRAM_ROWS)
         rate = 0.02 * (1 - step / steps) + 0.001
         for k, v in g.items():
             m, s = moment[k]
@@ -264,11 +288,11 @@ class Scorer:
         group, size = [], 0
         for k, text in enumerate(texts):
             words = words_of(text)
-            for low in range(0, max(1, len(words)), STRIDE * BATCH):  # a very long text in parts that overlap
-                part = words[low : low + STRIDE * BATCH + WINDOW]
+            for low in range(0, max(1, len(words)), GROUP_WORDS):  # a very long text in parts that overlap
+                part = words[low : low + GROUP_WORDS + WINDOW]
                 group.append((k, part))
                 size += len(part)
-                if size >= STRIDE * BATCH:
+                if size >= GROUP_WORDS:
                     self._group(group, out)
                     group, size = [], 0
         if group:
@@ -286,13 +310,13 @@ class Scorer:
         order = np.argsort(length, kind="stable")
         padded = np.concatenate([ids, np.zeros(WINDOW, np.int64)])
         used, local = np.unique(padded, return_inverse=True)
-        inputs = self.inputs[used]
+        gates = self.net.gates(self.inputs[used])
         owner = np.array(owner)
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
             steps = max(1, int(length[some].max()))
             at = local[start[some, None] + np.arange(steps)]
-            logit = self.net.run(inputs, at, np.maximum(1, length[some]))
+            logit = self.net.run(gates, at, np.maximum(1, length[some]))
             np.maximum.at(out, owner[some], logit)
 
 

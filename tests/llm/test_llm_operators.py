@@ -373,7 +373,7 @@ def test_gradients():
     r = np.random.default_rng(0)
     inputs, at, lengths, label = r.standard_normal((6, 3)), np.array([[1, 2, 3, 0], [4, 5, 1, 2]]), np.array([3, 4]), np.array([1.0, 0.0])
     g = net.gradients(inputs, at, lengths, label, np.ones(2))
-    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * label - 1) * net.run(inputs, at, lengths)))))
+    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * label - 1) * net.run(net.gates(inputs), at, lengths)))))
     for name in ("hf", "xb", "a", "out", "cb"):
         w = net.w[name]
         where = (0,) * w.ndim
