@@ -33,24 +33,42 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing needs any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            drop(spark, path)
         except Exception:  # the session may have ended before; then nothing can be removed through it
             return
 
 
-def written(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+#: Shuffle files go as soon as the table that needed them is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str = "t", by: str | None = None) -> str:
+    """Write ``df`` as a Parquet table in the shared folder and return its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return path
+
+
+def written(df: DataFrame, name: str = "t") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
 def trim() -> None:

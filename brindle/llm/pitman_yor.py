@@ -6,19 +6,22 @@ for a text's start) share a parent, and all classes share the root restaurant ov
 over the known tokens and one unknown token. A customer of a restaurant sits at a table of its dish or opens one, and each
 table is a customer of the parent.
 
-Three passes over tables in the shared folder, none of which holds more than one block or one range of words:
+Steps over tables in the shared folder, none of which holds more than one block or one range of words:
 
 1. Documents are tokenised into *blocks*. A block keeps its documents as numbers of its distinct (word, context) pairs
    and asks for every pair once, by ranges of the words' hashes, with its training count.
 2. Ranges add up the counts of all blocks. Seating is sampled range by range, since a dish's tables in all contexts and
    at the root lie in one range: customers of small dishes are removed and reseated one by one with their tables' sizes,
-   large dishes are reseated as a whole, in growing steps. What ranges share are the sums over all dishes of each
-   restaurant (customers, tables): a first run of sweeps finds them, a second one with these sums collects samples. Those
-   of the classes and the root are few; those of the contexts are added up by ranges of the contexts' hashes, and each
-   range of words gets back those of its own contexts.
+   large dishes are emptied and seated anew, one customer after the other up to ``ALONE`` and then in steps of a small
+   share of those seated. What ranges share are the sums over all dishes of each restaurant (customers, tables): a first
+   run of sweeps finds them, a second one with these sums collects samples. Those of the classes and the root are few;
+   those of the contexts are added up by ranges of the contexts' hashes, and each range of words gets back its own.
 3. The average over samples of each pair's predictive probability goes back to the blocks that asked, in their order, and
    blocks add up the logarithms of each document's tokens.
 
+Ranges and blocks are worked off in ``PASSES`` parts, one after the other: a part's input goes when its result is written,
+so that shuffles and tables never hold everything twice.
+
 All training documents are counted. Words are known by 64 bits of their XXH64, so that 2^32 distinct words would be
 expected to hold about one collision. Nulls: a null text is empty and has its end alone; a null id stays null and, as
 the crc32 of the empty text is 0, is a training row. Repeated rows count each. Very long texts make their block larger.
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,13 +42,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, shuffle_parts, trim, written
+from .common import crc_of_id, drop, shuffle_parts, stored, trim, written
 
 CONTEXTS = 64
 BLOCK_TOKENS = 1_000_000
 BURN_IN = 2
 SAMPLES = 3
 SMALL = 8
+#: Customers of a large dish that are seated one by one; later ones come in steps of the share 1 / SHARE of those seated.
+ALONE, SHARE = 128, 64
+#: Parts in which ranges and blocks are worked off.
+PASSES = 4
+#: Bytes of the input for each range of words, at most.
+RANGE_BYTES = 64 << 20
 #: Of the contexts, the classes and the root.
 STRENGTH = (1.0, 1.0, 1.0)
 SEED = 42
@@ -78,8 +88,19 @@ def class_of(word: bytes) -> int:
     return 1 + zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % (CONTEXTS - 1)
 
 
-_REQUEST = pa.struct([("range", pa.int32()), ("words", pa.binary()), ("fan", pa.binary()), ("names", pa.binary()), ("classes", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("held", pa.binary()), ("lengths", pa.binary()), ("pairs", pa.binary()), ("requests", pa.list_(_REQUEST))])
+#: A block's documents (``ids`` to ``fan``) or what it asks of one range (``range`` to ``counts``).
+_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((k, pa.binary()) for k in ("ids", "known", "held", "lengths", "pairs", "fan")), ("range", pa.int32()), *((k, pa.binary()) for k in ("words", "names", "classes", "contexts", "counts"))])
+_KINDS = "block long, ids binary, known binary, held binary, lengths binary, pairs binary, fan binary, range int, words binary, names binary, classes binary, contexts binary, counts binary"
+
+
+def _pass(number: int, ranges: int) -> int:
+    """The part in which a range is worked off."""
+    return number * PASSES // ranges
+
+
+def _group(block: int) -> int:
+    """The part in which a block is worked off."""
+    return (block + (block >> 32)) % PASSES
 
 
 def _block(number: int, words: _Numbers, docs: list, ranges: int) -> pa.RecordBatch:
@@ -110,15 +131,14 @@ def _block(number: int, words: _Numbers, docs: list, ranges: int) -> pa.RecordBa
     cuts = np.searchsorted(where, np.arange(ranges + 1))
     ends = np.concatenate([[0], np.cumsum(fan, dtype=np.int64)])
     names = np.append(hashes, START)
-    requests = []
+    rows = [{"part": PASSES + _group(number), "block": number, "ids": np.array([d[0] for d in docs], "<i8").tobytes(), "known": np.array([d[1] for d in docs], np.uint8).tobytes(), "held": held.tobytes(), "lengths": lengths.tobytes(), "pairs": _planes(inverse, "<u4"), "fan": _planes(fan, "<u4")}]
     for r in range(ranges):
         a, b = cuts[r], cuts[r + 1]
         if a < b:
             x, y = ends[a], ends[b]
             used, local = np.unique(context[x:y], return_inverse=True)
-            requests.append({"range": r, "words": sorted_hashes[a:b].tobytes(), "fan": _planes(fan[a:b], "<u4"), "names": names[used].tobytes(), "classes": after[used].tobytes(), "contexts": _planes(local, "<u4"), "counts": _planes(counts[x:y], "<u4")})
-    row = {"block": number, "ids": np.array([d[0] for d in docs], "<i8").tobytes(), "known": np.array([d[1] for d in docs], np.uint8).tobytes(), "held": held.tobytes(), "lengths": lengths.tobytes(), "pairs": _planes(inverse, "<u4"), "requests": requests}
-    return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
+            rows.append({"part": _pass(r, ranges), "block": number, "range": r, "words": sorted_hashes[a:b].tobytes(), "fan": _planes(fan[a:b], "<u4"), "names": names[used].tobytes(), "classes": after[used].tobytes(), "contexts": _planes(local, "<u4"), "counts": _planes(counts[x:y], "<u4")})
+    return pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
 
 
 def blocks(docs: DataFrame, ranges: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -140,8 +160,7 @@ def blocks(docs: DataFrame, ranges: int, block_tokens: int = BLOCK_TOKENS) -> Da
             del words, rows
             trim()
 
-    kinds = "block long, ids binary, known binary, held binary, lengths binary, pairs binary, requests array<struct<range:int,words:binary,fan:binary,names:binary,classes:binary,contexts:binary,counts:binary>>"
-    return docs.mapInArrow(tokenised, kinds)
+    return docs.mapInArrow(tokenised, f"part int, {_KINDS}")
 
 
 def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -153,7 +172,7 @@ def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.nd
 _RANGE = "range int, blocks binary, words long, contexts binary, classes binary, pairs binary, counts binary, of_pairs array<binary>"
 
 
-def summed(made: DataFrame) -> DataFrame:
+def summed(asked: DataFrame) -> DataFrame:
     """One row for each range: its contexts, the counts of all blocks, and which places each block asked for."""
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -167,8 +186,7 @@ def summed(made: DataFrame) -> DataFrame:
         counts = np.bincount(np.concatenate(of_pairs), np.concatenate([_joined(x, "<u4") for x in rows["counts"]]), minlength=len(pairs)).astype(np.int64)
         return pd.DataFrame({"range": [key[0]], "blocks": [rows["block"].to_numpy().astype("<i8").tobytes()], "words": [len(words)], "contexts": [contexts.tobytes()], "classes": [classes.tobytes()], "pairs": [_planes(pairs, "<i8")], "counts": [_planes(counts, "<i8")], "of_pairs": [[_planes(x, "<u4") for x in of_pairs]]})
 
-    asked = made.select("block", F.inline("requests"))
-    return asked.groupBy("range").applyInPandas(add, _RANGE)
+    return asked.select("block", "range", "words", "fan", "names", "classes", "contexts", "counts").groupBy("range").applyInPandas(add, _RANGE)
 
 
 def reseat_small(sizes: np.ndarray, weight: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
@@ -187,16 +205,20 @@ def reseat_small(sizes: np.ndarray, weight: np.ndarray, discount: float, draw: n
 
 
 def seat_large(counts: np.ndarray, weight: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with many customers, seated from the first on, in steps that grow with those seated."""
+    """Tables of dishes with many customers, who are seated anew from the first on."""
     tables, seated = np.ones(len(counts)), 1
     order = np.argsort(-counts)
     left = counts[order].astype(np.float64)
     while len(left) and (live := int(np.searchsorted(-left, -seated))):
-        step = np.minimum(left[:live] - seated, max(1, seated // 16))
-        now = tables[order[:live]]
-        opens = weight[order[:live]] / (np.maximum(seated - discount * now, 1e-9) + weight[order[:live]])
-        tables[order[:live]] = now + draw.binomial(step.astype(np.int64), np.clip(opens, 0, 1))
-        seated += max(1, seated // 16)
+        now, new = tables[order[:live]], weight[order[:live]]
+        opens = np.clip(new / (np.maximum(seated - discount * now, 1e-9) + new), 0, 1)
+        if seated < ALONE:
+            tables[order[:live]] = now + (draw.random(live) < opens)
+            seated += 1
+        else:
+            step = seated // SHARE
+            tables[order[:live]] = now + draw.binomial(np.minimum(left[:live] - seated, step).astype(np.int64), opens)
+            seated += step
     return np.minimum(tables, counts)
 
 
@@ -244,10 +266,11 @@ class Pairs:
         return np.bincount(self.context, values, minlength=len(self.names))
 
 
-def run(row: dict, sums: dict, burn_in: int, samples: int, seed: int):
+def run(row, shares: pd.DataFrame, sums: dict, burn_in: int, samples: int, seed: int):
     """Sweeps over one range. Yields the pairs, the samples' mean of their probabilities, and the totals of tables."""
     p = Pairs(row)
-    customers, seated = (np.concatenate([_joined(x[k], "<i8") for x in row["shares"]]).astype(float) for k in ("customers", "tables"))
+    shares = shares.sort_values("owner")
+    customers, seated = (np.concatenate([_joined(x, "<i8") for x in shares[k]]).astype(float) for k in ("customers", "tables"))
     draw = np.random.default_rng([seed, int(row["range"])])
     d2, d1, d0, (s2, s1, s0) = sums["d2"], sums["d1"], sums["d0"], STRENGTH
     lift = (s2 + d2 * seated)[p.context]
@@ -296,8 +319,11 @@ def _totals(parts: DataFrame) -> np.ndarray:
     return np.array([r["x"] for r in sorted(found)])
 
 
-def with_shares(counted: DataFrame, parts: DataFrame) -> DataFrame:
-    """``counted`` with ``shares``: for each range, the sums of its contexts over all ranges."""
+_SHARE = "range int, owner int, customers binary, tables binary"
+
+
+def shares(parts: DataFrame) -> DataFrame:
+    """For each range, the sums of its contexts over all ranges."""
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
         names, _, places = _merged([np.frombuffer(x, np.uint64) for x in rows["names"]])
@@ -308,12 +334,10 @@ def with_shares(counted: DataFrame, parts: DataFrame) -> DataFrame:
         trim()
         return out
 
-    sums = parts.where("owner >= 0").drop("totals").groupBy("owner").applyInPandas(add, "range int, owner int, customers binary, tables binary")
-    shares = sums.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("owner", "customers", "tables"))).alias("shares"))
-    return counted.join(shares, "range")
+    return parts.where("owner >= 0").drop("totals").groupBy("owner").applyInPandas(add, _SHARE)
 
 
-def _first_parts(counted: DataFrame, ranges: int) -> tuple[DataFrame, dict]:
+def _first_parts(counted: DataFrame, ranges: int) -> tuple[str, dict]:
     """Customers and dishes of every restaurant; discounts from how many dishes have one and two customers."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,34 +351,21 @@ def _first_parts(counted: DataFrame, ranges: int) -> tuple[DataFrame, dict]:
                 yield _parts(row["range"], p, p.per_context(p.counts > 0), np.concatenate([size(of_mid), size(of_mid > 0), [fan.sum(), (fan > 0).sum(), p.counts.sum(), *few]]), ranges)
                 trim()
 
-    parts = written(counted.select("range", "words", "contexts", "classes", "pairs", "counts").mapInPandas(look, _PART), "parts")
+    parts = counted.select("range", "words", "contexts", "classes", "pairs", "counts").mapInPandas(look, _PART)
+    path = stored(parts, "parts")
+    parts = counted.sparkSession.read.schema(_PART).parquet(path)
     found = _totals(parts)
     if not len(found):
         found = np.zeros(2 * CONTEXTS + 9)
     rate = lambda ones, twos: float(np.clip(ones / (ones + 2 * twos) if ones else 0.5, 0.05, 0.95))
     rest = found[2 * CONTEXTS :]
-    return parts, _sums(found) | {"distinct": int(rest[1]), "tokens": int(rest[2]), "d2": rate(*rest[3:5]), "d1": rate(*rest[5:7]), "d0": rate(*rest[7:9])}
+    return path, _sums(found) | {"distinct": int(rest[1]), "tokens": int(rest[2]), "d2": rate(*rest[3:5]), "d1": rate(*rest[5:7]), "d0": rate(*rest[7:9])}
 
 
 def _sums(found: np.ndarray) -> dict:
     return {"customers": found[:CONTEXTS], "tables": found[CONTEXTS : 2 * CONTEXTS], "root_customers": found[2 * CONTEXTS], "root_tables": found[2 * CONTEXTS + 1]}
 
 
-def _seated_parts(counted: DataFrame, sums: dict, sweeps: int, seed: int, ranges: int) -> tuple[DataFrame, dict]:
-    """The restaurants' totals of tables after sweeps with the totals in ``sums`` and ``shares``."""
-
-    def sit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                p, _, tables, totals = run(row, sums, sweeps - 1, 1, seed)
-                yield _parts(row["range"], p, tables, totals, ranges)
-                trim()
-
-    parts = written(counted.mapInPandas(sit, _PART), "parts")
-    found = _totals(parts)
-    return parts, sums | (_sums(found) if len(found) else {})
-
-
 def held_out(id_column: str = "doc_id"):
     """True for rows that are not learned from: the crc32 of the id as text has remainder 2 by 7."""
     return crc_of_id(id_column) % 7 == 2
@@ -363,37 +374,72 @@ def held_out(id_column: str = "doc_id"):
 def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = SEED, ranges: int | None = None) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and ``perplexity`` of each row."""
     spark = docs.sparkSession
-    ranges = ranges or shuffle_parts(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(id_column).alias("held_out"))
-    made = written(blocks(rows, ranges), "blocks")
-    counted = written(summed(made), "ranges")
-    light = counted.select("range", "words", "contexts", "classes", "pairs", "counts")
-    parts, sums = _first_parts(counted, ranges)
-    parts, sums = _seated_parts(with_shares(light, parts), sums, burn_in + 1, seed, ranges)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = ranges or max(shuffle_parts(spark), min(size, 1 << 50) // RANGE_BYTES)
+    made = stored(blocks(rows, ranges), "blocks", "part")
+    table = lambda paths, kinds: spark.read.schema(kinds).parquet(*([paths] if isinstance(paths, str) else paths))
+    in_turn = lambda path, kinds, part: table(path, f"{kinds}, part int").where(F.col("part") == part).drop("part")
+
+    counted = []
+    for k in range(PASSES):
+        counted.append(stored(summed(in_turn(made, _KINDS, k)), "ranges"))
+        drop(spark, f"{made}/part={k}")
+    light = ["range", "words", "contexts", "classes", "pairs", "counts"]
+    first, sums = _first_parts(table(counted, _RANGE), ranges)
+
+    def shared(paths: list[str]) -> str:
+        out = stored(shares(table(paths, _PART)), "shares")
+        for path in paths:
+            drop(spark, path)
+        return out
 
-    def reply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                p, mean, _, _ = run(row, sums, burn_in, samples, seed)
-                trim()
-                per_word = np.bincount(p.word, p.counts, minlength=p.words).astype("<u4")
-                value = np.log10(np.maximum(mean, 1e-300)).astype("<f4")
-                for block, of_pairs in zip(np.frombuffer(row["blocks"], "<i8"), row["of_pairs"]):
-                    places = _joined(of_pairs, "<u4")
-                    counts_of = per_word[p.word[places]]
-                    yield pd.DataFrame({"block": [block], "range": [row["range"]], "counts": [_planes(counts_of, "<u4")], "logs": [_planes(value[places], "<f4")]})
-
-    answers = with_shares(counted, parts).mapInPandas(reply, "block long, range int, counts binary, logs binary")
+    def mine(path: str, k: int) -> DataFrame:
+        """The shares of the ranges of a part."""
+        return table(path, _SHARE).where(F.floor(F.col("range") * PASSES / ranges) == k).groupBy("range")
+
+    def sit(key, row: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        p, _, tables, totals = run(row.iloc[0], share, sums, burn_in, 1, seed)
+        trim()
+        return _parts(key[0], p, tables, totals, ranges)
+
+    known = shared([first])
+    seated = [stored(table(path, _RANGE).select(light).groupBy("range").cogroup(mine(known, k)).applyInPandas(sit, _PART), "parts") for k, path in enumerate(counted)]
+    drop(spark, known)
+    found = _totals(table(seated, _PART))
+    final = sums | (_sums(found) if len(found) else {})
+    known = shared(seated)
+
+    def reply(key, row: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        one = row.iloc[0]
+        p, mean, _, _ = run(one, share, final, burn_in, samples, seed)
+        trim()
+        per_word = np.bincount(p.word, p.counts, minlength=p.words).astype("<i8")
+        value = np.log10(np.maximum(mean, 1e-300)).astype("<f4")
+        out = []
+        for block, of_pairs in zip(np.frombuffer(one["blocks"], "<i8").tolist(), one["of_pairs"]):
+            places = _joined(of_pairs, "<u4")
+            word = p.word[places]
+            out.append((_group(block), block, key[0], _planes(per_word[word[np.flatnonzero(np.diff(word, prepend=-1))]], "<i8"), _planes(value[places], "<f4")))
+        return pd.DataFrame(out, columns=["part", "block", "range", "counts", "logs"])
+
+    answer = "block long, range int, counts binary, logs binary"
+    replies = []
+    for k, path in enumerate(counted):
+        replies.append(stored(table(path, _RANGE).groupBy("range").cogroup(mine(known, k)).applyInPandas(reply, f"part int, {answer}"), "answers", "part"))
+        drop(spark, path)
+    drop(spark, known)
     base = float(np.log10(sums["tokens"] + sums["distinct"] + 1))
     train = sums["tokens"]
 
     def total(key, block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         trim()
         parts = parts.sort_values("range")
-        counts = np.concatenate([_joined(x, "<u4") for x in parts["counts"]])
+        one = block.iloc[0]
+        fan = _joined(one["fan"], "<u4")
+        counts = np.repeat(np.concatenate([_joined(x, "<i8") for x in parts["counts"]]), fan)
         logs = np.concatenate([_joined(x, "<f4") for x in parts["logs"]]).astype(float)
         plain = np.log10(counts + 1.0) - base
-        one = block.iloc[0]
         lengths = np.frombuffer(one["lengths"], np.int64)
         pairs = _joined(one["pairs"], "<u4")
         starts = np.cumsum(lengths) - lengths
@@ -408,7 +454,13 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", burn_i
             "score": np.add.reduceat(logs[pairs], starts),
         })
 
-    kept = made.select("block", "ids", "known", "held", "lengths", "pairs").groupBy("block")
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = kept.cogroup(answers.groupBy("block")).applyInPandas(total, kinds)
+    scored = None
+    for k in range(PASSES):
+        kept = in_turn(made, _KINDS, PASSES + k).select("block", "ids", "known", "held", "lengths", "pairs", "fan").groupBy("block")
+        asked = reduce(DataFrame.unionByName, (in_turn(path, answer, k) for path in replies))
+        some = written(kept.cogroup(asked.groupBy("block")).applyInPandas(total, kinds), "scores")
+        scored = some if scored is None else scored.unionByName(some)
+        for path in (f"{made}/part={PASSES + k}", *(f"{x}/part={k}" for x in replies)):
+            drop(spark, path)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
