@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import fnmatch
+import re
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -10,36 +12,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKENS = r"\W+"
+Field = Callable[[str], Column]
+#: Words of a range besides its bounds.
+_RANGE_WORDS = {"boost", "format", "time_zone", "relation", "include_lower", "include_upper"}
 
 
-def _tokens(column: str) -> Column:
-    return F.split(F.lower(F.col(column)), _TOKENS)
+def _tokens(column: Column) -> Column:
+    return F.split(F.lower(column), _TOKENS)
 
 
-def condition(query: dict[str, Any]) -> Column:
-    """A query clause as a condition."""
+def _line(column: Column) -> Column:
+    """The tokens in one line with a space before and after each."""
+    return F.concat(F.lit(" "), F.array_join(F.array_remove(_tokens(column), ""), " "), F.lit(" "))
+
+
+def _words(text: str) -> list[str]:
+    """The tokens of a query, as those of a text."""
+    return [w for w in re.split(_TOKENS, text.lower(), flags=re.ASCII) if w]
+
+
+def condition(query: dict[str, Any], field: Field = F.col) -> Column:
+    """A query clause as a condition; ``field`` gives the column of a name."""
     (kind, body), = query.items()
     if kind == "match_all":
         return F.lit(True)
     if kind == "match_none":
         return F.lit(False)
     if kind == "bool":
-        return _bool(body)
-    if kind in ("nested", "constant_score", "has_child"):
-        return condition(body.get("query") or body["filter"])
+        return _bool(body, field)
+    if kind == "constant_score":
+        return condition(body["filter"], field)
+    if kind == "nested":  # some element of the array meets the whole query
+        inner = body["path"] + "."
+        return F.coalesce(F.exists(field(body["path"]), lambda x: F.coalesce(condition(body["query"], lambda name: x[name.removeprefix(inner)]), F.lit(False))), F.lit(False))
+    if kind == "has_child":
+        raise ValueError("has_child needs its children: give them to search()")
     if kind == "ids":
-        return F.col("_id").isin(body["values"])
+        return field("_id").isin(body["values"])
     if kind == "exists":
-        return F.col(body["field"]).isNotNull()
+        return field(body["field"]).isNotNull()
+    if kind == "multi_match":
+        return reduce(lambda a, b: a | b, [F.coalesce(condition({"match": {name: body["query"]}}, field), F.lit(False)) for name in body["fields"]])
     (name, value), = ((k, v) for k, v in body.items() if k != "boost")
-    column = F.col(name)
+    column = field(name)
     if kind == "term":
         return column == F.lit(value["value"] if isinstance(value, dict) else value)
     if kind == "terms":
         return column.isin(value)
     if kind == "range":
-        parts = [getattr(column, {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}[op])(F.lit(x)) for op, x in value.items() if op in ("gt", "gte", "lt", "lte")]
-        return reduce(lambda a, b: a & b, parts)
+        return _range(column, value)
     if kind == "prefix":
         return column.startswith(value["value"] if isinstance(value, dict) else value)
     if kind == "wildcard":
@@ -50,21 +71,40 @@ def condition(query: dict[str, Any]) -> Column:
     if kind == "fuzzy":
         text = value["value"] if isinstance(value, dict) else value
         return F.levenshtein(column, F.lit(text)) <= int(value.get("fuzziness", 2) if isinstance(value, dict) else 2)
-    if kind in ("match", "match_phrase"):
-        text = value["query"] if isinstance(value, dict) else value
-        words = [w for w in text.lower().split() if w]
+    if kind in ("match", "match_phrase", "match_phrase_prefix", "match_bool_prefix"):
+        words = _words(value["query"] if isinstance(value, dict) else value)
+        if not words:
+            return F.lit(False)
         if kind == "match_phrase":
-            return F.array_join(_tokens(name), " ").contains(" ".join(words))
+            return _line(column).contains(f" {' '.join(words)} ")
+        if kind == "match_phrase_prefix":
+            return _line(column).contains(f" {' '.join(words)}")
         every = isinstance(value, dict) and value.get("operator", "or").lower() == "and"
-        hits = [F.array_contains(_tokens(name), w) for w in words]
+        hits = [F.array_contains(_tokens(column), w) for w in words]
+        if kind == "match_bool_prefix":
+            hits[-1] = _line(column).contains(f" {words[-1]}")
         return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), hits)
     if kind == "geo_distance":
         raise ValueError("geo_distance needs a latitude and a longitude column; use functions.dialect.haversine")
     raise ValueError(f"{kind} is not supported")
 
 
-def _bool(body: dict[str, Any]) -> Column:
-    clauses = lambda name: [condition(q) for q in (body.get(name) if isinstance(body.get(name), list) else [body[name]] if name in body else [])]
+def _range(column: Column, value: dict[str, Any]) -> Column:
+    """Bounds by gt, gte, lt and lte, or by from and to, which count unless include_lower and include_upper say no."""
+    if unknown := value.keys() - {"gt", "gte", "lt", "lte", "from", "to"} - _RANGE_WORDS:
+        raise ValueError(f"a range has no {', '.join(sorted(unknown))}")
+    bounds = dict(value)
+    if bounds.get("from") is not None:
+        bounds["gte" if value.get("include_lower", True) else "gt"] = bounds["from"]
+    if bounds.get("to") is not None:
+        bounds["lte" if value.get("include_upper", True) else "lt"] = bounds["to"]
+    compare = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
+    parts = [getattr(column, how)(F.lit(bounds[word])) for word, how in compare.items() if bounds.get(word) is not None]
+    return reduce(lambda a, b: a & b, parts) if parts else column.isNotNull()
+
+
+def _bool(body: dict[str, Any], field: Field) -> Column:
+    clauses = lambda name: [condition(q, field) for q in (body.get(name) if isinstance(body.get(name), list) else [body[name]] if name in body else [])]
     parts = clauses("must") + clauses("filter") + [~F.coalesce(c, F.lit(False)) for c in clauses("must_not")]
     if should := clauses("should"):
         least = int(body.get("minimum_should_match", 0 if parts else 1))
@@ -73,9 +113,38 @@ def _bool(body: dict[str, Any]) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def search(df: DataFrame, body: dict[str, Any]) -> DataFrame:
-    """The hits of a request: query, ``_source`` filter, sort, from and size."""
-    out = df.where(condition(body["query"])) if "query" in body else df
+def _with_children(df: DataFrame, node: Any, children: dict[str, tuple[DataFrame, str, str]], marks: list[str]) -> tuple[DataFrame, Any]:
+    """``df`` with a mark for each has_child clause, and the clauses as tests of their marks."""
+    if isinstance(node, list):
+        out = []
+        for x in node:
+            df, made = _with_children(df, x, children, marks)
+            out.append(made)
+        return df, out
+    if not isinstance(node, dict):
+        return df, node
+    if "has_child" in node:
+        body, mark = node["has_child"], f"__child_{len(marks)}"
+        marks.append(mark)
+        child, key, own = children[body["type"]]
+        found = child.where(condition(body["query"])).select(F.col(key).alias(f"{mark}_key")).distinct().withColumn(mark, F.lit(True))
+        return df.join(found, F.col(own) == F.col(f"{mark}_key"), "left"), {"exists": {"field": mark}}
+    out = {}
+    for k, x in node.items():
+        df, out[k] = _with_children(df, x, children, marks)
+    return df, out
+
+
+def search(df: DataFrame, body: dict[str, Any], children: dict[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
+    """The hits of a request: query, ``_source`` filter, sort, from and size.
+
+    ``children``: of each child type its rows, their column that names the parent, and the parent's column that it names.
+    """
+    marks: list[str] = []
+    out = df
+    if "query" in body:
+        out, query = _with_children(df, body["query"], children or {}, marks)
+        out = out.where(condition(query)).drop(*(x for mark in marks for x in (mark, f"{mark}_key")))
     order = []
     for item in body.get("sort", []):
         name, how = (item, "asc") if isinstance(item, str) else next(iter(item.items()))

@@ -141,6 +141,21 @@ def time_to_sec(s: Column) -> Column:
     return parts[0].cast("long") * 3600 + parts[1].cast("long") * 60 + parts[2].cast("long")
 
 
+def maketime(hour: Column, minute: Column, second: Column) -> Column:
+    return F.format_string("%02d:%02d:%02d", hour, minute, second)
+
+
+def addtime(a: Column, b: Column) -> Column:
+    """The sum of two times of day or durations, both as ``hh:mm:ss``."""
+    return sec_to_time(time_to_sec(a) + time_to_sec(b))
+
+
+def subtime(a: Column, b: Column) -> Column:
+    """``a`` less ``b``; also TIMEDIFF. The result has a sign if it is negative."""
+    n = time_to_sec(a) - time_to_sec(b)
+    return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")), sec_to_time(F.abs(n)))
+
+
 def date_bin(width: str, t: Column) -> Column:
     return F.window(t, width)["start"]
 
@@ -239,6 +254,45 @@ def json_remove(doc: Column, path: str) -> Column:
     return _edit(doc, path, None, False, False)
 
 
+def _contains(a, b) -> bool:
+    if isinstance(a, dict):
+        return isinstance(b, dict) and all(k in a and _contains(a[k], v) for k, v in b.items())
+    if isinstance(a, list):
+        return all(any(_contains(x, y) for x in a) for y in (b if isinstance(b, list) else [b]))
+    return type(a) is type(b) and a == b
+
+
+def json_contains(doc: Column, part: Column) -> Column:
+    """Whether the JSON text ``part`` is contained: objects by their keys, arrays by their elements, others by value."""
+
+    @F.pandas_udf("boolean")
+    def contained(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _contains(json.loads(x), json.loads(y)) for x, y in zip(xs, ys)], dtype="boolean")
+
+    return contained(doc, part)
+
+
+def _found(node, text: str, path: str) -> Iterator[str]:
+    if isinstance(node, str) and node == text:
+        yield path
+    elif isinstance(node, dict):
+        for k, x in node.items():
+            yield from _found(x, text, f"{path}.{k}")
+    elif isinstance(node, list):
+        for k, x in enumerate(node):
+            yield from _found(x, text, f"{path}[{k}]")
+
+
+def json_search(doc: Column, text: str) -> Column:
+    """The paths of all strings that equal ``text``, in the document's order."""
+
+    @F.pandas_udf("array<string>")
+    def searched(docs: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else list(_found(json.loads(x), text, "$")) for x in docs])
+
+    return searched(doc)
+
+
 def _merged(a, b, patch: bool):
     if isinstance(a, dict) and isinstance(b, dict):
         out = dict(a)

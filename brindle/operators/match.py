@@ -7,8 +7,9 @@ computed beforehand in the JVM as boolean columns (with ``lag``/``lead`` for nei
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,23 +153,44 @@ def match_recognize(df: DataFrame, partition: list[str], order: list[Column], pa
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", match_number long, match_variable string, match_row long"
     find, columns = matcher(parse(pattern)), df.columns
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__n")
-        held = {v: part[f"__f_{v}"].tolist() for v in names}
-        n, at, number, picked = len(part), 0, 0, []
-        while at < n:
-            rows = find(held, at, n)
-            if not rows:
-                at += 1
-                continue
-            number += 1
-            picked += [(row, number, v, k) for k, (row, v) in enumerate(rows, 1)]
-            at = rows[-1][0] + 1 if after == "past last row" else at + 1
-        out = part.iloc[[p[0] for p in picked]][columns].copy()
+    def matched(rows: pd.DataFrame) -> pd.DataFrame:
+        """Matches in whole partitions, one after the other."""
+        whole = {v: rows[f"__f_{v}"].tolist() for v in names}
+        starts = np.append(np.flatnonzero(rows["__n"].to_numpy() == 1), len(rows))
+        picked = []
+        for first, end in zip(starts.tolist(), starts[1:].tolist()):
+            held = {v: flags[first:end] for v, flags in whole.items()}
+            n, at, number = end - first, 0, 0
+            while at < n:
+                found = find(held, at, n)
+                if not found:
+                    at += 1
+                    continue
+                number += 1
+                picked += [(first + row, number, v, k) for k, (row, v) in enumerate(found, 1)]
+                at = found[-1][0] + 1 if after == "past last row" else at + 1
+        out = rows.iloc[[p[0] for p in picked]][columns].copy()
         out["match_number"], out["match_variable"], out["match_row"] = [p[1] for p in picked], [p[2] for p in picked], [p[3] for p in picked]
         if all_rows:
-            rest = part.drop(part.index[sorted({p[0] for p in picked})])[columns].assign(match_number=None, match_variable=None, match_row=None)
+            rest = rows.drop(rows.index[sorted({p[0] for p in picked})])[columns].assign(match_number=None, match_variable=None, match_row=None)
             out = pd.concat([out, rest]) if len(rest) else out
         return out.astype({"match_number": "Int64", "match_variable": object, "match_row": "Int64"})
 
-    return flags.groupBy(*partition).applyInPandas(run, kind)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The window leaves each partition's rows together and in order: number 1 starts the next, so no further shuffle."""
+        open_: list[pd.DataFrame] = []
+        for batch in batches:
+            last = np.flatnonzero(batch["__n"].to_numpy() == 1)
+            if open_ and len(last):
+                done = pd.concat([*open_, batch.iloc[: last[-1]]], ignore_index=True)
+                open_ = [batch.iloc[last[-1] :]]
+                yield matched(done)
+            elif len(last) and last[-1]:
+                yield matched(batch.iloc[: last[-1]].reset_index(drop=True))
+                open_ = [batch.iloc[last[-1] :]]
+            else:
+                open_.append(batch)
+        if open_:
+            yield matched(pd.concat(open_, ignore_index=True))
+
+    return flags.mapInPandas(run, kind)

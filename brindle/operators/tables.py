@@ -19,7 +19,7 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def fetch_with_ties(df: DataFrame, n: int, keys: list[str], descending: bool = False) -> DataFrame:
     """The first ``n`` rows and all that tie with the last: a limit finds their keys, so nothing is ranked in one task."""
     first = df.orderBy(*(F.desc_nulls_last(k) if descending else F.asc_nulls_last(k) for k in keys)).limit(n)
-    found = F.broadcast(first.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct())  # at most n rows
+    found = first.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()  # Spark broadcasts it if it is small
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     return df.join(found, same, "left_semi")
 
@@ -30,9 +30,26 @@ def per_partition_limit(df: DataFrame, keys: list[str], order: list[Column], n:
 
 
 def percent(df: DataFrame, share: float, order: list[Column]) -> DataFrame:
-    """The first ``share`` percent of the rows, rounded up."""
-    n = df.count()
-    return df.orderBy(*order).limit(-(-int(n * share * 1000) // 100_000))
+    """The first ``share`` percent of the rows, rounded up.
+
+    Rows are dealt into ranges of the order and counted; whole ranges before the cut come as they are, and only the range
+    in which the cut lies is ranked.
+    """
+    from ..sources.scratch import checkpointed
+
+    ranges = checkpointed(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = sorted(map(tuple, ranges.groupBy("__p").count().collect()))  # a row for each range
+    left, whole, last = -(-int(sum(n for _, n in sizes) * share * 1000) // 100_000), [], None
+    for part, n in sizes:
+        if left < n:
+            last = part
+            break
+        whole.append(part)
+        left -= n
+    out = ranges.where(F.col("__p").isin(whole)) if whole else ranges.limit(0)
+    if last is not None and left:
+        out = out.unionByName(ranges.where(F.col("__p") == last).orderBy(*order).limit(left))
+    return out.drop("__p")
 
 
 def exact_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
@@ -49,6 +66,11 @@ def weighted_sample(df: DataFrame, n: int, weight: str, seed: int) -> DataFrame:
 # Shape
 
 
+def map_reduce(df: DataFrame, emit: Column, reduced: Column) -> DataFrame:
+    """``emit`` gives an array of (``key``, ``value``) for each row; ``reduced`` aggregates ``value`` for each ``key``."""
+    return df.select(F.inline(emit)).groupBy("key").agg(reduced.alias("value"))
+
+
 def star_like(df: DataFrame, pattern: str) -> DataFrame:
     """The columns whose names match an ILIKE pattern."""
     import re
@@ -124,15 +146,24 @@ def shortest(edges: DataFrame, source: str, target: str) -> DataFrame:
 # Row changes: each gives the table's new state
 
 
+def _once(source: DataFrame, keys: list[str]) -> DataFrame:
+    """``source``, which fails where two rows have the same keys."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    many = F.raise_error(F.lit("several source rows have the same keys")).cast("boolean")
+    return source.withColumn("__many", n).where(F.when(known & (F.col("__many") > 1), many).otherwise(F.lit(True))).drop("__many")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the source replace those with the same keys; the rest is inserted."""
+    """Rows of the source replace those with the same keys; the rest is inserted. Repeated keys in the source are an error."""
+    source = _once(source, keys)
     kept = target.join(source.select(*keys), keys, "left_anti").select(*target.columns)
     return kept.unionByName(source.select(*target.columns))
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], changes: dict[str, Column]) -> DataFrame:
-    """Set columns of the rows that match; ``changes`` may use the source's columns as ``s.name``."""
-    joined = target.alias("t").join(source.alias("s"), [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "left")
+    """Set columns of the rows that match; ``changes`` may use the source's columns as ``s.name``. Repeated keys in the source are an error."""
+    joined = target.alias("t").join(_once(source, keys).alias("s"), [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "left")
     hit = F.col(f"s.{keys[0]}").isNotNull()
     return joined.select(*(F.when(hit, changes[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in changes else F.col(f"t.{c}").alias(c) for c in target.columns))
 

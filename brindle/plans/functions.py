@@ -56,13 +56,8 @@ def net_dialect(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", D.inet_ntoa(D.inet_aton(ip)).alias("ip"), D.inet_aton(ip).cast("int").alias("num"), D.is_ipv4(ip).alias("v4"), D.is_ipv6(ip).alias("v6"))
 
 
-@query("json_edit", "SELECT event_id, '{\"k\":1,\"n\":{\"a\":2}}' AS s, '{}' AS r, 1 AS len, '{\"k\":null}' AS p FROM events WHERE event_id < 50")
+@query("json_edit", "SELECT event_id, '{\"k\":1,\"n\":{\"a\":2}}' AS s, '{}' AS r, 1 AS len, '{\"k\":null}' AS p FROM events")
 def json_edit(spark, sf):
-    return _json_edited(table(spark, sf, "events").where("event_id < 50"))
-
-
-@query("json_edit_all", "SELECT event_id, '{\"k\":1,\"n\":{\"a\":2}}' AS s, '{}' AS r, 1 AS len, '{\"k\":null}' AS p FROM events")
-def json_edit_all(spark, sf):
     return _json_edited(table(spark, sf, "events"))
 
 

@@ -131,17 +131,8 @@ def column_summary(spark, sf):
     return table(spark, sf, "part").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), F.count("p_size").alias("n")).select(F.lit("p_size").alias("name"), "lo", "hi", "n")
 
 
-@query("shortest_paths", "WITH RECURSIVE e(s, t) AS (SELECT s_suppkey, (s_suppkey * 5 + 1) % 10 FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT s_suppkey, (s_suppkey + 3) % 10 FROM supplier WHERE s_suppkey < 10), w(a, b, d) AS (SELECT s, t, 1 FROM e UNION SELECT w.a, e.t, w.d + 1 FROM w JOIN e ON e.s = w.b WHERE w.d < 9) SELECT a, b, min(d) AS d FROM w GROUP BY a, b")
+@query("shortest_paths")
 def shortest_paths(spark, sf):
-    """All pairs over quantified paths of up to nine edges, the shortest of each."""
-    tables(spark, sf, "supplier")
-    return spark.sql("""WITH RECURSIVE e AS (SELECT s_suppkey AS s, (s_suppkey * 5 + 1) % 10 AS t FROM supplier WHERE s_suppkey < 10 UNION SELECT s_suppkey, (s_suppkey + 3) % 10 FROM supplier WHERE s_suppkey < 10),
-        w(a, b, d) AS (SELECT s, t, 1 FROM e UNION ALL SELECT w.a, e.t, w.d + 1 FROM w JOIN e ON e.s = w.b WHERE w.d < 9)
-        SELECT a, b, min(d) AS d FROM w GROUP BY a, b""")
-
-
-@query("shortest_paths_all")
-def shortest_paths_all(spark, sf):
     """All pairs over paths of any length from all suppliers; brute force in the tests stands for an oracle."""
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"))
     n = suppliers.agg(F.count("*").alias("n"))

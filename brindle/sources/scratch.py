@@ -1,29 +1,31 @@
-"""Checkpoints in the folder that all executors share."""
+"""Checkpoints and folders that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only in a local session, where it is unset, a local folder is made and set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="brindle-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` materialised in ``spark.checkpoint.dir``; only where that is unset a local folder is set, as in tests."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    """``df`` materialised in the shared folder."""
+    root(df.sparkSession)
     return df.checkpoint()
 
 
-def folder(spark, name: str) -> str:
+def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

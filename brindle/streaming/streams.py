@@ -21,7 +21,9 @@ def source(spark: SparkSession, path: str, schema=None, most_files: int = 1) ->
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end of what is available and read the sink. Complete and update modes keep the last state by batch."""
+    """Run to the end of what is available and read the sink; in complete mode that is the last batch's state."""
+    if mode not in ("append", "complete"):
+        raise ValueError("an update's batch holds only the keys that changed, so the last one is no state")
     spark = stream.sparkSession
     out, marks = folder(spark, "sink"), folder(spark, "marks")
     if mode == "append":
