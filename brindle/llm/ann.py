@@ -27,7 +27,7 @@ DIMS = 8
 CERTAIN = 0.9
 LEAF = 32
 BLOCK_ROWS = 32768
-GROUP_ROWS = 512
+GROUP_ROWS = 4096
 SEED = 11
 
 

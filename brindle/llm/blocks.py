@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_parts, written
 
+#: Rows that make a block of their own while there are fewer blocks than cores.
+LEAST_ROWS = 4096
+
 
 def vectors(table: DataFrame, id_column: str, vector: str, zero: bool) -> DataFrame:
     """(``id``, ``vec``) of the rows that take part: of the most usual size, all components finite, and not zero unless ``zero``."""
@@ -96,8 +99,9 @@ def search(rows: DataFrame, every: int, k: int, build: Callable[[np.ndarray, np.
     """
     spark = rows.sparkSession
     n = rows.count()
-    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-n // every // group_rows))
     parts = shuffle_parts(spark)
+    blocks = max(1, -(-n // block_rows), min(parts, -(-n // LEAST_ROWS)))  # a small table is spread over the cores
+    groups = max(1, -(-n // every // group_rows))
 
     def index(key, part: pd.DataFrame) -> pd.DataFrame:
         made = build(part["id"].to_numpy(), np.stack(part["vec"].to_numpy()))

@@ -25,7 +25,7 @@ PIVOTS = 64
 ANNULUS = 32
 SCALE = 256
 BLOCK_ROWS = 32768
-GROUP_ROWS = 512
+GROUP_ROWS = 4096
 
 
 def search(table: DataFrame, every: int, k: int, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
