@@ -137,3 +137,51 @@ def test_review_and_order():
     assert [r for r, _ in catalog.review("DELETE FROM t")] == ["where-required"]
     assert catalog.review("DELETE FROM t WHERE k = 1") == []
     assert catalog.ordered({"view": {"table"}, "table": set()}) == ["table", "view"]
+
+
+def test_repeated_source_keys_fail(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    once = spark.createDataFrame([(1, "x"), (None, "n"), (None, "m")], "k int, v string")
+    assert rows(tables.upsert(target, once, ["k"])) == sorted([(1, "x"), (2, "b"), (None, "n"), (None, "m")], key=repr)
+    assert rows(tables.update_from(target, once, ["k"], {"v": F.col("s.v")})) == [(1, "x"), (2, "b")]
+    for changed in (tables.upsert(target, twice, ["k"]), tables.update_from(target, twice, ["k"], {"v": F.col("s.v")})):
+        with pytest.raises(Exception, match="several source rows"):
+            changed.collect()
+
+
+@pytest.mark.parametrize("share", [0, 1, 10, 33.3, 99.9, 100])
+def test_percent(spark, share):
+    df = spark.createDataFrame([(k * 7 % 50,) for k in range(50)], "x int")
+    n = -(-int(50 * share * 1000) // 100_000)
+    assert rows(tables.percent(df, share, [F.col("x")])) == sorted(((k,) for k in range(n)), key=repr)
+
+
+def test_search_clauses(spark):
+    df = spark.createDataFrame([(1, "smart works", [(1, "a")]), (2, "Art work!", [(2, "a"), (1, "b")]), (3, "e-mail art works", None), (4, None, [])], "id int, text string, items array<struct<n: int, s: string>>")
+    hits = lambda query: [r.id for r in search.search(df, {"query": query, "sort": ["id"]}).collect()]
+    assert hits({"match_phrase": {"text": "art work"}}) == [2]
+    assert hits({"match_phrase_prefix": {"text": "art work"}}) == [2, 3]
+    assert hits({"match": {"text": "e-mail"}}) == [3]
+    assert hits({"match_bool_prefix": {"text": {"query": "mail wor", "operator": "and"}}}) == [3]
+    assert hits({"multi_match": {"query": "smart", "fields": ["text"]}}) == [1]
+    both = {"bool": {"must": [{"term": {"items.n": 2}}, {"term": {"items.s": "b"}}]}}
+    assert hits({"nested": {"path": "items", "query": both}}) == [] and hits({"nested": {"path": "items", "query": {"term": {"items.s": "b"}}}}) == [2]
+    assert hits({"range": {"id": {"from": 2, "to": 3}}}) == [2, 3] and hits({"range": {"id": {"from": 2, "include_lower": False, "lt": 4}}}) == [3]
+    assert hits({"range": {"id": {"from": 2, "lt": 4}}}) == [2, 3]
+    with pytest.raises(ValueError):
+        hits({"range": {"id": {"above": 2}}})
+    with pytest.raises(ValueError):
+        search.condition({"has_child": {}})
+
+
+def test_row_patterns_across_batches(spark):
+    """Partitions that span Arrow batches, and many of them in one."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.createDataFrame([(g, n, "ab"[n % 2]) for g in range(5) for n in range(2 * g + 1)], "g int, n int, c string")
+        made = match.match_recognize(df, ["g"], [F.col("n")], "A B", {"A": F.col("c") == "a", "B": F.col("c") == "b"})
+        assert rows(made.groupBy("g").agg(F.count("*").alias("n"))) == [(g, 2 * g) for g in range(1, 5)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
