@@ -216,6 +216,21 @@ def test_ann_recall(spark):
     assert hits / total >= 0.9 and not {1000, 1020, 1040, 1060, 1080} & set(got)
 
 
+def test_ann_recall_at_64(spark):
+    """More components than projections, in clusters: recall holds and the stop rule skips leaves."""
+    draw = np.random.default_rng(9)
+    centres = 4 * draw.standard_normal((40, 64))
+    vecs = centres[draw.integers(0, 40, 4000)] + draw.standard_normal((4000, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, 20, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    product = vecs[::20] @ vecs.T
+    product[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    best = np.argsort(-product, axis=1)[:, :20]
+    assert sum(len(got[20 * q] & set(b.tolist())) for q, b in enumerate(best)) / 4000 >= 0.9
+
+
 def test_topk_exact(spark):
     df = embeddings(spark, 700, 8, 2, ODD)
     got = {}
@@ -295,6 +310,7 @@ ODD_TEXT = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "the", "é", "'
 @settings(max_examples=400, deadline=None)
 @given(ODD_TEXT)
 def test_counts_and_ids(text):
+    """Counts and ids are the libraries' own, whichever way a text is cut."""
     import sentencepiece
     from tokenizers import Tokenizer
 
