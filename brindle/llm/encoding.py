@@ -74,7 +74,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        cut = self.library.pre_tokenizer.pre_tokenize_str
+        cut, self.tokenize = self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
         self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
         self.spaced = cut(" b")[0][0] != cut("b")[0][0]  # a word takes the space before it along
         space, digits = " ?" if self.spaced else "", "[0-9]" if len(cut("12")) > 1 else "[0-9]+"
@@ -86,7 +86,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """The ids of one word of the pre-tokeniser."""
-        return array(self.code, [t.id for t in self.library.model.tokenize(word)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -95,7 +95,7 @@ class Encoder:
         if any(s in text or s in plain for s in self.specials):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
         words, ids = self.cuts(plain), self.words
-        if sum(map(len, words)) + (0 if self.spaced else plain.count(" ") + plain.count("\n")) != len(plain):
+        if len("".join(words)) + (0 if self.spaced else plain.count(" ") + plain.count("\n")) != len(plain):
             whole = text if self.library.normalizer is None else self.library.normalizer.normalize_str(text)
             words, ids = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(whole)], self.others
         return np.frombuffer(b"".join(map(ids.__getitem__, words)), self.kind)

@@ -41,17 +41,24 @@ SHARD_TOKENS = 8_000_000
 MAGIC = b"WVMX0001"
 #: Bytes of a plane in each block.
 BLOCK = 1 << 16
+#: Ids that are dealt at a time, so that their places stay in a core's cache.
+RUN = 1 << 17
 
 
 def build(ids: np.ndarray, levels: int) -> tuple[list[int], list[bytes]]:
     """The zeros and the packed bits of each level."""
     zeros, planes = [], []
     for level in range(levels - 1, -1, -1):
-        ones = (ids & ids.dtype.type(1 << level)).astype(bool)
-        planes.append(np.packbits(ones, bitorder="little").tobytes())
-        none = ids.take(np.flatnonzero(~ones))
-        zeros.append(len(none))
-        ids = np.concatenate([none, ids.take(np.flatnonzero(ones))])
+        bit, plane, none, some = ids.dtype.type(1 << level), [], [ids[:0]], []
+        for k in range(0, len(ids), RUN):
+            run = ids[k : k + RUN]
+            ones = (run & bit).astype(bool)
+            plane.append(np.packbits(ones, bitorder="little").tobytes())
+            none.append(run.take(np.flatnonzero(~ones)))
+            some.append(run.take(np.flatnonzero(ones)))
+        planes.append(b"".join(plane))
+        zeros.append(sum(map(len, none)))
+        ids = np.concatenate(none + some)
     return zeros, planes
 
 
@@ -166,11 +173,15 @@ class Shard:
         now = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             at, places, _ = self.planes[level]
-            raw = b"".join(zstandard.ZstdDecompressor().decompress(self.data[at + a : at + b]) for a, b in zip(places, places[1:]))
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
-            out = np.empty_like(now)
-            out[np.flatnonzero(~ones)] = now[: self.zeros[level]]
-            out[np.flatnonzero(ones)] = now[self.zeros[level] :] | kind.type(1 << (self.levels - 1 - level))
+            raw = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(self.data[at + a : at + b]) for a, b in zip(places, places[1:])), np.uint8)
+            bit, out, low, high = kind.type(1 << (self.levels - 1 - level)), np.empty_like(now), 0, self.zeros[level]
+            for k in range(0, self.n, RUN):
+                run = out[k : k + RUN]
+                ones = np.unpackbits(raw[k // 8 : (k + RUN) // 8], count=len(run), bitorder="little").view(bool)
+                zero, one = np.flatnonzero(~ones), np.flatnonzero(ones)
+                run[zero] = now[low : low + len(zero)]
+                run[one] = now[high : high + len(one)] | bit
+                low, high = low + len(zero), high + len(one)
             now = out
         return now
 
