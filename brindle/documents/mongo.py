@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dialect import haversine
+
 Document = dict[str, Any]
 
 _COMPARE = {"$eq": "__eq__", "$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
@@ -71,6 +73,11 @@ def _field(column: Column, value: Any) -> Column:
             parts.append(_both([F.array_contains(column, F.lit(v)) for v in x], lambda a, b: a & b))
         elif op == "$elemMatch":
             parts.append(F.exists(column, lambda e, q=x: _element(e, q)))
+        elif op == "$geoWithin":
+            parts.append(_within(column, x))
+        elif op in ("$near", "$nearSphere"):
+            metres = _metres(column, x)
+            parts.append(_both([metres <= x["$maxDistance"]] * ("$maxDistance" in x) + [metres >= x["$minDistance"]] * ("$minDistance" in x) + [column.isNotNull()], lambda a, b: a & b))
         elif op == "$type":
             parts.append(F.typeof(column).startswith(_TYPES[x]))
         else:
@@ -78,6 +85,26 @@ def _field(column: Column, value: Any) -> Column:
     return _both(parts, lambda a, b: a & b)
 
 
+# Positions are arrays of longitude and latitude, as the coordinates of a point document are.
+
+
+def _within(column: Column, shape: Document) -> Column:
+    """Inside of a ``$box`` (two corners) or a ``$centerSphere`` (centre, radius in radians)."""
+    (kind, value), = shape.items()
+    if kind == "$box":
+        (left, below), (right, above) = value
+        return column[0].between(left, right) & column[1].between(below, above)
+    if kind == "$centerSphere":
+        (lon, lat), radius = value
+        return haversine(column[1], column[0], F.lit(lat), F.lit(lon)) / 6371 <= radius
+    raise ValueError(f"{kind} is not supported")
+
+
+def _metres(column: Column, near: Document) -> Column:
+    lon, lat = near["$geometry"]["coordinates"]
+    return haversine(column[1], column[0], F.lit(lat), F.lit(lon)) * 1000
+
+
 def _element(element: Column, query: Document) -> Column:
     if all(k.startswith("$") for k in query):
         return _field(element, query)
@@ -295,12 +322,16 @@ def _densify(df: DataFrame, spec: Document) -> DataFrame:
 
 
 def find(df: DataFrame, query: Document | None = None, projection: Document | None = None, sort: Document | None = None, limit: int | None = None, skip: int | None = None) -> DataFrame:
-    stages: list[Document] = [{"$match": query or {}}]
-    stages += [{"$sort": sort}] if sort else []
+    """Rows that match; without a sort, ``$near`` puts the nearest first."""
+    found = aggregate(df, [{"$match": query or {}}])
+    near = [(k, v.get("$near") or v.get("$nearSphere")) for k, v in (query or {}).items() if isinstance(v, dict) and v.keys() & {"$near", "$nearSphere"}]
+    if near and not sort:
+        found = found.orderBy(*(_metres(F.col(k), v) for k, v in near))
+    stages: list[Document] = [{"$sort": sort}] if sort else []
     stages += [{"$skip": skip}] if skip else []
     stages += [{"$limit": limit}] if limit else []
     stages += [{"$project": projection}] if projection else []
-    return aggregate(df, stages)
+    return aggregate(found, stages)
 
 
 def count_documents(df: DataFrame, query: Document) -> int:

@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dialect import haversine
+
 _TOKENS = r"\W+"
 Field = Callable[[str], Column]
 #: Words of a range besides its bounds.
@@ -53,6 +55,9 @@ def condition(query: dict[str, Any], field: Field = F.col) -> Column:
         return field(body["field"]).isNotNull()
     if kind == "multi_match":
         return reduce(lambda a, b: a | b, [F.coalesce(condition({"match": {name: body["query"]}}, field), F.lit(False)) for name in body["fields"]])
+    if kind == "geo_distance":
+        (name, value), = ((k, v) for k, v in body.items() if k not in ("distance", "distance_type", "boost"))
+        return haversine(field(name)["lat"], field(name)["lon"], F.lit(value["lat"]), F.lit(value["lon"])) <= _kilometres(body["distance"])
     (name, value), = ((k, v) for k, v in body.items() if k != "boost")
     column = field(name)
     if kind == "term":
@@ -84,11 +89,23 @@ def condition(query: dict[str, Any], field: Field = F.col) -> Column:
         if kind == "match_bool_prefix":
             hits[-1] = _line(column).contains(f" {words[-1]}")
         return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), hits)
-    if kind == "geo_distance":
-        raise ValueError("geo_distance needs a latitude and a longitude column; use functions.dialect.haversine")
+    if kind == "geo_bounding_box":
+        first, last = value["top_left"], value["bottom_right"]
+        return column["lat"].between(last["lat"], first["lat"]) & column["lon"].between(first["lon"], last["lon"])
     raise ValueError(f"{kind} is not supported")
 
 
+#: Kilometres of each unit of length.
+UNITS = {"m": 0.001, "km": 1.0, "mi": 1.609344, "yd": 0.0009144, "ft": 0.0003048, "nmi": 1.852}
+
+
+def _kilometres(distance: str) -> float:
+    m = re.fullmatch(r"\s*([\d.]+)\s*([a-z]*)\s*", distance)
+    if not m or (m[2] or "m") not in UNITS:
+        raise ValueError(f"{distance} is no distance")
+    return float(m[1]) * UNITS[m[2] or "m"]
+
+
 def _range(column: Column, value: dict[str, Any]) -> Column:
     """Bounds by gt, gte, lt and lte, or by from and to, which count unless include_lower and include_upper say no."""
     if unknown := value.keys() - {"gt", "gte", "lt", "lte", "from", "to"} - _RANGE_WORDS:

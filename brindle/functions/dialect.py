@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 from collections.abc import Iterator
 
@@ -156,6 +157,32 @@ def subtime(a: Column, b: Column) -> Column:
     return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")), sec_to_time(F.abs(n)))
 
 
+#: Fixed values of GET_FORMAT: the patterns of each kind and standard.
+GET_FORMATS = {
+    "DATE": {"EUR": "%d.%m.%Y", "INTERNAL": "%Y%m%d", "ISO": "%Y-%m-%d", "JIS": "%Y-%m-%d", "USA": "%m.%d.%Y"},
+    "TIME": {"EUR": "%H.%i.%s", "INTERNAL": "%H%i%s", "ISO": "%H:%i:%s", "JIS": "%H:%i:%s", "USA": "%h:%i:%s %p"},
+    "DATETIME": {"EUR": "%Y-%m-%d %H.%i.%s", "INTERNAL": "%Y%m%d%H%i%s", "ISO": "%Y-%m-%d %H:%i:%s", "JIS": "%Y-%m-%d %H:%i:%s", "USA": "%Y-%m-%d %H.%i.%s"},
+}
+
+
+def get_format(kind: str, standard: str) -> str:
+    """The pattern of a standard for ``mysql_date_format``; TIMESTAMP is as DATETIME."""
+    return GET_FORMATS["DATETIME" if kind.upper() == "TIMESTAMP" else kind.upper()][standard.upper()]
+
+
+def curtime() -> Column:
+    """The session's time of day, also CURRENT_TIME and LOCALTIME."""
+    return F.date_format(F.current_timestamp(), "HH:mm:ss")
+
+
+def utc_timestamp() -> Column:
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+
+
+def utc_time() -> Column:
+    return F.date_format(utc_timestamp(), "HH:mm:ss")
+
+
 def date_bin(width: str, t: Column) -> Column:
     return F.window(t, width)["start"]
 
@@ -182,6 +209,56 @@ def is_ipv6(s: Column) -> Column:
     return s.rlike(full) | s.rlike(short)
 
 
+def inet6_aton(ip: Column) -> Column:
+    """The bytes of an IPv4 or IPv6 address; null for other texts."""
+
+    @F.pandas_udf("binary")
+    def packed(part: pd.Series) -> pd.Series:
+        return part.map(_packed)
+
+    return packed(ip)
+
+
+def _packed(ip: str | None) -> bytes | None:
+    try:
+        return ipaddress.ip_address(ip).packed if ip is not None else None
+    except ValueError:
+        return None
+
+
+def inet6_ntoa(packed: Column) -> Column:
+    """The address of 4 or 16 bytes in its shortest form; null for other lengths."""
+
+    @F.pandas_udf("string")
+    def spelt(part: pd.Series) -> pd.Series:
+        return part.map(lambda b: str(ipaddress.ip_address(bytes(b))) if b is not None and len(b) in (4, 16) else None)
+
+    return spelt(packed)
+
+
+def uuid_short() -> Column:
+    """Numbers that are distinct within a query."""
+    return F.monotonically_increasing_id()
+
+
+def token(*keys: Column) -> Column:
+    """A key's place on the ring of 64-bit hashes, by which token ranges cut a table."""
+    return F.xxhash64(*keys)
+
+
+#: A key-value store's letters of the types, by how a type's name begins.
+ATTRIBUTE_TYPES = {"string": "S", "binary": "B", "boolean": "BOOL", "array": "L", "map": "M", "struct": "M", "void": "NULL"}
+
+
+def attribute_type(c: Column) -> Column:
+    """The type's letters in a key-value store: NULL for a null, N for numbers; times are texts there."""
+    kind = F.typeof(c)
+    out = F.when(c.isNull(), "NULL")
+    for begin, letters in ATTRIBUTE_TYPES.items():
+        out = out.when(kind.startswith(begin), letters)
+    return out.when(kind.startswith("date") | kind.startswith("timestamp"), "S").otherwise("N")
+
+
 def is_uuid(s: Column) -> Column:
     return s.rlike(r"^\{?[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}\}?$")
 

@@ -139,3 +139,61 @@ def classify(sql: str) -> str:
 def with_limit(sql: str, most: int) -> str:
     """A query whose result has at most ``most`` rows."""
     return f"SELECT * FROM ({sql.rstrip().rstrip(';')}) AS limited LIMIT {int(most)}"
+
+
+#: Text, names and comments, in which nothing is rewritten.
+_KEPT = re.compile(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)", re.S)
+#: Words that Spark's parser lacks and that change no rows, and what stands in their place.
+DIALECT = {
+    r"\bAS\s+(?:NOT\s+)?MATERIALIZED(?=\s*\()": "AS",
+    r"\bSELECT\s+STRAIGHT_JOIN\b": "SELECT",
+    r"\bSTRAIGHT_JOIN\b": "JOIN",
+    r"\bDIRECTED\s+JOIN\b": "JOIN",
+    r"\bALLOW\s+FILTERING\b": "",
+    r"\bTOKEN\s*\(": "xxhash64(",
+    r"\bUSING\s*<(?![=<>])": "ASC",
+    r"\bUSING\s*>(?![=<>])": "DESC",
+}
+
+
+def _code_only(sql: str) -> str:
+    """The text with quoted parts and comments left out."""
+    return _KEPT.sub(" ", sql)
+
+
+def adapted(sql: str) -> str:
+    """A statement of another dialect without the words that only tell its engine how to run it."""
+    parts = _KEPT.split(sql)
+    for k in range(0, len(parts), 2):
+        for pattern, new in DIALECT.items():
+            parts[k] = re.sub(pattern, new, parts[k], flags=re.I)
+    return "".join(parts)
+
+
+def mixed_chain(sql: str) -> bool:
+    """Whether a chain of set operations mixes them without parentheses, which strict dialects refuse."""
+    chains: list[set[str]] = [set()]
+    for m in re.finditer(r"[();]|\b(UNION|INTERSECT|EXCEPT|MINUS)\b(?:\s+(ALL)\b)?", _code_only(sql), re.I):
+        if m[0] == "(":
+            chains.append(set())
+        elif m[0] == ")":
+            chains.pop() if len(chains) > 1 else chains[0].clear()
+        elif m[0] == ";":
+            chains = [set()]
+        else:
+            chains[-1].add(f"{m[1]} {m[2] or ''}".upper().replace("MINUS", "EXCEPT"))
+            if len(chains[-1]) > 1:
+                return True
+    return False
+
+
+def run_script(spark: SparkSession, script: str, dialect: str = "ansi"):
+    """Run a script's statements and return the last one's DataFrame. ``SET ROWCOUNT n`` limits the queries after it, 0 ends that."""
+    most, out = 0, None
+    for statement in split(script, dialect):
+        if m := re.fullmatch(r"SET\s+ROWCOUNT\s+(\d+)", statement.text.strip(), re.I):
+            most = int(m[1])
+            continue
+        text = adapted(statement.text)
+        out = spark.sql(with_limit(text, most) if most and classify(text) == "DQL" else text)
+    return out

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..sources.files import FORMATS
+from ..sources.files import options as files_options
 from ..sources.scratch import folder
 
 
@@ -73,10 +75,32 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return a.join(b, near, "inner")
 
 
-def refreshed(stream: DataFrame, view: Callable[[DataFrame], DataFrame], path: str, marks: str) -> StreamingQuery:
-    """A materialised view that every batch of changes recomputes by merging sums: ``view`` aggregates a batch."""
+def external(spark: SparkSession, location: str, kind: str, schema: str, **options) -> DataFrame:
+    """An external stream: a location of files of a format, read as they come."""
+    return spark.readStream.format(FORMATS.get(kind.upper(), kind.lower())).options(**files_options(**options)).schema(schema).load(location)
+
+
+def processors(spark: SparkSession) -> list[str]:
+    """The names of the stream processors that run."""
+    return sorted(query.name for query in spark.streams.active if query.name)
+
+
+def stop_processor(spark: SparkSession, name: str) -> None:
+    for query in spark.streams.active:
+        if query.name == name:
+            query.stop()
+            return
+    raise ValueError(f"no stream processor is named {name}")
+
+
+def refreshed(stream: DataFrame, view: Callable[[DataFrame], DataFrame], path: str, marks: str, lag: str | None = None) -> StreamingQuery:
+    """A materialised view that every batch of changes recomputes by merging sums: ``view`` aggregates a batch.
+
+    ``lag``: how far it may be behind (a dynamic table); without one it ends when all that is available is read.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         view(batch).write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    trigger = {"processingTime": lag} if lag else {"availableNow": True}
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", marks).trigger(**trigger).start()
