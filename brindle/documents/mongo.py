@@ -76,8 +76,8 @@ def _field(column: Column, value: Any) -> Column:
         elif op == "$geoWithin":
             parts.append(_within(column, x))
         elif op in ("$near", "$nearSphere"):
-            metres = _metres(column, x)
-            parts.append(_both([metres <= x["$maxDistance"]] * ("$maxDistance" in x) + [metres >= x["$minDistance"]] * ("$minDistance" in x) + [column.isNotNull()], lambda a, b: a & b))
+            parts.append(column.isNotNull())
+            parts += [getattr(_metres(column, x), how)(x[word]) for word, how in (("$minDistance", "__ge__"), ("$maxDistance", "__le__")) if word in x]
         elif op == "$type":
             parts.append(F.typeof(column).startswith(_TYPES[x]))
         else:
