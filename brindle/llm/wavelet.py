@@ -213,9 +213,9 @@ def write_shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": f"{folder}/{name}", "n_docs": len(names), "n_tokens": len(ids), "n_bytes": len(data)}], schema=kinds)
 
         for batch in batches:
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode_all(batch.column(1))):
                 names.append(doc)
-                parts.append(ids_of.encode(content.as_py()))
+                parts.append(ids)
                 total += len(parts[-1]) + 1
                 if total >= shard_tokens:
                     yield close()

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -323,6 +324,41 @@ def test_counts_and_ids(text):
         assert held[path, "own"].encode(text).tolist() == held[path].encode(text, add_special_tokens=False).ids
 
 
+COLUMN = st.lists(st.none() | ODD_TEXT | st.lists(st.sampled_from([" ", "\n", "a", "the", " the", "é", "ɏ", "ɐ", "×", "÷", "ª", "'", "'s", "'re", "'ll", "'l", "'ve", "'T", "st", "12", "!", "\n\n", "word" * 7, "<|endoftext|>"]), max_size=20).map("".join), max_size=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(COLUMN, st.integers(0, 2), st.booleans())
+def test_ids_of_columns(texts, skip, large):
+    """Texts that are cut by their bytes have the library's ids, in slices of columns and beside texts that are not cut so."""
+    held = test_ids_of_columns.__dict__.setdefault("held", {})
+    if not held:
+        held |= {p: encoding.Encoder(p) for p in (WORD, BYTE)}
+    column = pa.array(texts, pa.large_string() if large else pa.string())[skip:]
+    for own in held.values():
+        assert [x.tolist() for x in own.encode_all(column)] == [own.library.encode(t or "", add_special_tokens=False).ids for t in texts[skip:]]
+
+
+def test_full_table_and_long_texts(monkeypatch):
+    """Ids are right when words share places, when the table is emptied, and when a text is longer than a group."""
+    monkeypatch.setattr(encoding, "GROUP", 1 << 10)
+    monkeypatch.setattr(encoding, "PLACES", 11)
+    own, draw = encoding.Encoder(BYTE), random.Random(2)
+    texts = [" ".join("".join(draw.choices("abcdeé", k=draw.randrange(1, 30))) for _ in range(draw.choice([3, 30, 200]))) for _ in range(300)]
+    assert [x.tolist() for x in own.encode_all(pa.array(texts))] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_reach_the_model_once():
+    """A worker's table holds the words of its texts: 600,000 words that come again are not encoded again."""
+    own, calls, n = encoding.Encoder(BYTE), Counter(), 600_000
+    model = own.tokenize
+    own.tokenize = lambda word: calls.update(n=1) or model(word)
+    column = pa.array([" ".join(f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}{chr(97 + d)}{chr(97 + e)}" for e in range(25)) for a in range(4) for b in range(10) for c in range(25) for d in range(24)])
+    for _ in range(2):
+        assert len(list(own.encode_all(column))) == n // 25
+    assert n <= calls["n"] < n * 1.05  # and the words at the start of texts
+
+
 def test_token_counts_table(docs, none):
     import sentencepiece
 
