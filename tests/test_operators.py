@@ -71,6 +71,26 @@ def test_shortest_paths_of_any_length(spark):
     assert rows(made.select("a", "b", "d")) == sorted(((a, b, d) for (a, b), d in want.items()), key=repr)
 
 
+@pytest.mark.parametrize("held", [0, 1 << 22])
+def test_shortest_paths_store_no_pairs(spark, monkeypatch, held):
+    """Of 22500 pairs none is stored where workers hold the edges, and each once at most where they do not; batches cut a source's pairs."""
+    from brindle.sources import scratch
+
+    stored, real = [], scratch.checkpointed
+    monkeypatch.setattr(scratch, "checkpointed", lambda df: (made := real(df), stored.append(made.count()))[0])
+    monkeypatch.setattr(tables, "HELD_EDGES", held, raising=False)
+    monkeypatch.setattr(tables, "BATCH", 64, raising=False)
+    edges = [(f"n{s}", f"n{t % 150}") for s in range(150) for t in (s * 5 + 1, s + 3)] + [("n7", None), (None, "n7")]
+    made = tables.shortest(spark.createDataFrame(edges, "s string, t string"), "s", "t")
+    got = rows(made.select("a", "b", "d"))
+    assert len({(a, b) for a, b, _ in got}) == len(got) == made.count() and rows(made.where("a = b")) == [r for r in got if r[0] == r[1]]
+    near = {(a, b): d for a, b, d in got}
+    assert all(near[e] == 1 for e in edges if None not in e) and sum(stored) <= (300 if held else 300 + len(got))
+    assert all(d == 1 or any(near.get((a, s)) == d - 1 for s, t in edges if t == b) for (a, b), d in near.items())
+    assert all(near[a, t] <= d + 1 for (a, b), d in near.items() for s, t in edges if s == b and t)
+    assert rows(tables.shortest(spark.createDataFrame([], "s long, t long"), "s", "t")) == []
+
+
 def test_closure_of_a_long_chain(spark, monkeypatch):
     from brindle.sources import scratch
 
