@@ -26,6 +26,24 @@ def test_range_join_bounds(spark):
     assert rows(joins.range_join(points, spans, "x", "lo", "hi", 7.0)) == [(0.0, -5.0, 25.0), (0.0, 0.0, 10.0), (10.0, -5.0, 25.0)]
 
 
+def test_pairs_of_one_large_group(spark):
+    """The pairs of one group come from many tasks; equal and null keys and null groups give none."""
+    keys = [("a", k) for k in range(60)] + [("a", 7), ("a", None), (None, 3), (None, 4), ("b", 1), ("c", 2), ("c", -9)]
+    made = joins.pairs(spark.createDataFrame(keys, "g string, k int").coalesce(1), ["g"], "k", 8)
+    want = [(x, y) for g, x in keys for h, y in keys if g and g == h and None not in (x, y) and x < y]
+    assert rows(made) == sorted(want, key=repr)
+    assert made.select(F.spark_partition_id()).distinct().count() > 8
+    assert rows(joins.pairs(spark.createDataFrame([], "g string, k int"), ["g"], "k")) == []
+
+
+def test_self_join_is_spread(spark):
+    """Groups far from each other in size, from a table of one file."""
+    from brindle import registry
+
+    made = registry.queries()["self_join"](spark, "/root/testdata/sf0.001")
+    assert made.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_greater_than_all_with_nulls(spark):
     left = spark.createDataFrame([(5,), (1,)], "x int")
     assert rows(joins.greater_than_all(left, spark.createDataFrame([(3,), (None,)], "y int"), "x", "y")) == []
