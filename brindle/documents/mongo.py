@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Any
 
@@ -322,11 +323,12 @@ def _densify(df: DataFrame, spec: Document) -> DataFrame:
 
 
 def find(df: DataFrame, query: Document | None = None, projection: Document | None = None, sort: Document | None = None, limit: int | None = None, skip: int | None = None) -> DataFrame:
-    """Rows that match; without a sort, ``$near`` puts the nearest first."""
+    """Rows that match; without a sort, ``$near`` puts the nearest first, and rows equally near in the order of their fields."""
     found = aggregate(df, [{"$match": query or {}}])
     near = [(k, v.get("$near") or v.get("$nearSphere")) for k, v in (query or {}).items() if isinstance(v, dict) and v.keys() & {"$near", "$nearSphere"}]
     if near and not sort:
-        found = found.orderBy(*(_metres(F.col(k), v) for k, v in near))
+        fields = [F.col(f"`{f.name}`") for f in found.schema if not re.search(r"\b(map<|variant|interval)", f.dataType.simpleString())]
+        found = found.orderBy(*(_metres(F.col(k), v) for k, v in near), *fields)
     stages: list[Document] = [{"$sort": sort}] if sort else []
     stages += [{"$skip": skip}] if skip else []
     stages += [{"$limit": limit}] if limit else []

@@ -426,6 +426,6 @@ def normalize(s: Column, form: str = "NFC") -> Column:
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Kilometres on a sphere."""
-    half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), 2)
+    """Kilometres on a sphere; the same for equal differences in degrees."""
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
     return 2 * 6371 * F.asin(F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)))

@@ -1,5 +1,7 @@
 """Edge cases of operators: nulls, ties, empty inputs, errors."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,19 @@ def test_row_patterns_across_batches(spark):
         assert rows(made.groupBy("g").agg(F.count("*").alias("n"))) == [(g, 2 * g) for g in range(1, 5)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_near_ties(spark, tmp_path):
+    """Many rows at one place, and places equally far by the SQL's own arithmetic."""
+    import compare
+    import duckdb
+
+    from brindle import registry
+
+    spark.range(3000, -1, -1, 5).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert compare.differences(spark, "mongo_near", registry.queries()["mongo_near"], registry.oracle_sql()["mongo_near"], str(tmp_path), con) == ""
+    near = {"$near": {"$geometry": {"type": "Point", "coordinates": [10, 50]}}}
+    places = spark.createDataFrame([(k, [lon, 40]) for lon in (-15, 35) for k in range(40)], "k int, loc array<int>").repartition(8)
+    assert [(r.k, r.loc[0]) for r in mongo.find(places, {"loc": near}, limit=5).collect()] == [(0, -15), (0, 35), (1, -15), (1, 35), (2, -15)]
