@@ -1,6 +1,9 @@
 """Grouping, aggregates and windows."""
 
-from ..registry import sql_query
+from pyspark.sql import functions as F
+
+from ..registry import query, sql_query
+from ..session import table
 
 sql_query("group_having", "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_suppkey HAVING count(*) > 20")
 sql_query("group_ordinal", "SELECT o_orderstatus, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -29,8 +32,6 @@ sql_query("json_arrayagg", "SELECT n_regionkey, to_json(array_sort(collect_list(
 sql_query("json_objectagg", "SELECT r_regionkey, to_json(map_from_entries(array_sort(collect_list(struct(n_name, n_nationkey))))) AS o FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey", "SELECT r_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 sql_query("xmlagg", "SELECT n_regionkey, concat('<r>', array_join(transform(array_sort(collect_list(n_name)), n -> concat('<n>', n, '</n>')), ''), '</r>') AS x FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '<r>' || string_agg('<n>' || n_name || '</n>', '' ORDER BY n_name) || '</r>' AS x FROM nation GROUP BY n_regionkey")
 sql_query("any_value_min", "SELECT o_custkey, min(o_orderpriority) AS p, any_value(o_custkey * 2) AS d FROM orders GROUP BY o_custkey")
-sql_query("approx_distinct_band", "SELECT abs(approx_count_distinct(l_orderkey, 0.01) - count(DISTINCT l_orderkey)) <= 0.05 * count(DISTINCT l_orderkey) AS near FROM lineitem", "SELECT true AS near")
-sql_query("hll_sketch", "SELECT abs(hll_sketch_estimate(hll_sketch_agg(o_custkey, 14)) - count(DISTINCT o_custkey)) <= 0.05 * count(DISTINCT o_custkey) AS near FROM orders", "SELECT true AS near")
 sql_query("bitmap_count", "SELECT sum(n) AS n FROM (SELECT bitmap_bucket_number(o_custkey) AS b, bitmap_count(bitmap_construct_agg(bitmap_bit_position(o_custkey))) AS n FROM orders GROUP BY 1)", "SELECT count(DISTINCT o_custkey) AS n FROM orders")
 sql_query("histogram_bucket", "SELECT width_bucket(o_totalprice, 0, 500000, 10) AS b, count(*) AS n FROM orders GROUP BY 1", "SELECT CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 11 ELSE CAST(floor(o_totalprice / 50000) AS BIGINT) + 1 END AS b, count(*) AS n FROM orders GROUP BY 1")
 sql_query("group_as", "SELECT n_regionkey, size(g) AS n, array_max(transform(g, s -> s.n_nationkey)) AS hi FROM (SELECT n_regionkey, collect_list(struct(*)) AS g FROM nation GROUP BY n_regionkey)", "SELECT n_regionkey, count(*)::INT AS n, max(n_nationkey) AS hi FROM nation GROUP BY n_regionkey")
@@ -62,3 +63,21 @@ sql_query("sessionize", "SELECT user_id, session, count(*) AS n FROM (SELECT use
 sql_query("gap_fill", "SELECT d.d, coalesce(e.n, 0) AS n FROM (SELECT explode(sequence(lo, hi, INTERVAL '1' DAY)) AS d FROM (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events)) d LEFT JOIN (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) e ON e.d = d.d", "SELECT CAST(d.d AS DATE) AS d, coalesce(e.n, 0) AS n FROM (SELECT unnest(generate_series(lo, hi, INTERVAL '1' DAY)) AS d FROM (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events)) d LEFT JOIN (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) e ON e.d = d.d")
 sql_query("tumbling_window", "SELECT CAST(window.start AS TIMESTAMP_NTZ) AS start, event_type, count(*) AS n FROM (SELECT *, window(ts, '6 hours') FROM events) GROUP BY 1, 2", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 sql_query("date_bin", "SELECT event_id, CAST(window.start AS TIMESTAMP_NTZ) AS bin FROM (SELECT event_id, window(ts, '15 minutes') AS window FROM events)", "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts) AS bin FROM events")
+
+
+# Estimates over distinct keys, which are those over all rows: beside a distinct count Spark would keep a sketch for each key.
+
+
+def _near(keys, key, estimate):
+    exact = F.count(key)
+    return keys.select(key).distinct().agg((F.abs(estimate - exact) <= 0.05 * exact).alias("near"))
+
+
+@query("approx_distinct_band", "SELECT true AS near")
+def approx_distinct_band(spark, sf):
+    return _near(table(spark, sf, "lineitem"), "l_orderkey", F.approx_count_distinct("l_orderkey", 0.01))
+
+
+@query("hll_sketch", "SELECT true AS near")
+def hll_sketch(spark, sf):
+    return _near(table(spark, sf, "orders"), "o_custkey", F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey", 14)))

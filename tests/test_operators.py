@@ -241,3 +241,17 @@ def test_near_ties(spark, tmp_path):
     near = {"$near": {"$geometry": {"type": "Point", "coordinates": [10, 50]}}}
     places = spark.createDataFrame([(k, [lon, 40]) for lon in (-15, 35) for k in range(40)], "k int, loc array<int>").repartition(8)
     assert [(r.k, r.loc[0]) for r in mongo.find(places, {"loc": near}, limit=5).collect()] == [(0, -15), (0, 35), (1, -15), (1, 35), (2, -15)]
+
+
+def _plan(spark, name):
+    from brindle import registry
+
+    made = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    return made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["approx_distinct_band", "hll_sketch"])
+def test_one_sketch_for_all_keys(spark, name):
+    """No sketch is kept for each key."""
+    sketches = [line for line in _plan(spark, name).splitlines() if "approx_count_distinct(" in line or "hll_sketch_agg(" in line]
+    assert sketches and not any(re.search(r"key=\[\w|keys=\[\w", line) for line in sketches)
