@@ -78,11 +78,15 @@ sql_query(
     "SELECT n_nationkey, regexp_replace(regexp_replace(n_name, '[A-Z]', 'Q', 'g'), '[0-9]', 'd', 'g') AS m FROM nation",
 )
 sql_query("row_star", "SELECT s.* FROM (SELECT struct(n_nationkey AS a, n_name AS b) AS s FROM nation)", "SELECT n_nationkey AS a, n_name AS b FROM nation")
-sql_query(
-    "join_order_hints",
-    "SELECT /*+ SHUFFLE_HASH(orders), MERGE(nation) */ n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name",
-    "SELECT n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name",
-)
+
+
+@query("join_order_hints", "SELECT n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
+def join_order_hints(spark, sf):
+    """The hashed side of a shuffled hash join cannot spill, so orders come to it counted by customer."""
+    customer, orders, nation = (table(spark, sf, t) for t in ("customer", "orders", "nation"))
+    counted = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    joined = customer.join(counted.hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey")).join(nation.hint("merge"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return joined.groupBy("n_name").agg(F.sum("n").alias("n"))
 
 
 @query(

@@ -255,3 +255,8 @@ def test_one_sketch_for_all_keys(spark, name):
     """No sketch is kept for each key."""
     sketches = [line for line in _plan(spark, name).splitlines() if "approx_count_distinct(" in line or "hll_sketch_agg(" in line]
     assert sketches and not any(re.search(r"key=\[\w|keys=\[\w", line) for line in sketches)
+
+
+def test_join_order_hints_hash_counted_orders(spark):
+    plan = _plan(spark, "join_order_hints")
+    assert "SortMergeJoin" in plan and re.search(r"ShuffledHashJoin[^\n]*BuildRight(?s:.*)HashAggregate\(keys=\[o_custkey", plan)
