@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column
@@ -282,11 +283,11 @@ def _steps(path: str) -> list[str | int]:
     return out
 
 
-def _edit(doc: Column, path: str, value: Column | None, insert_: bool, replace: bool) -> Column:
+def _edit(doc: Column, path: str, value: Column | str | None, insert_: bool, replace: bool) -> Column:
+    """A text ``value`` is the same for all rows; edits of edits with such values are one call of one Python process."""
     steps, remove = _steps(path), value is None
 
-    @F.pandas_udf("string")
-    def edited(docs: pd.Series, values: pd.Series) -> pd.Series:
+    def edits(docs: pd.Series, values: Iterable[str | None]) -> pd.Series:
         def one(text, new):
             if text is None:
                 return None
@@ -311,19 +312,27 @@ def _edit(doc: Column, path: str, value: Column | None, insert_: bool, replace:
 
         return pd.Series([one(t, v) for t, v in zip(docs, values)])
 
-    return edited(doc, value if value is not None else F.lit("null"))
+    @F.pandas_udf("string")
+    def edited(docs: pd.Series) -> pd.Series:
+        return edits(docs, repeat(value))
+
+    @F.pandas_udf("string")
+    def edited_by(docs: pd.Series, values: pd.Series) -> pd.Series:
+        return edits(docs, values)
+
+    return edited_by(doc, value) if isinstance(value, Column) else edited(doc)
 
 
-def json_set(doc: Column, path: str, value: Column) -> Column:
+def json_set(doc: Column, path: str, value: Column | str) -> Column:
     """``value`` is JSON text; it replaces what the path leads to or is added there."""
     return _edit(doc, path, value, True, True)
 
 
-def json_insert(doc: Column, path: str, value: Column) -> Column:
+def json_insert(doc: Column, path: str, value: Column | str) -> Column:
     return _edit(doc, path, value, True, False)
 
 
-def json_replace(doc: Column, path: str, value: Column) -> Column:
+def json_replace(doc: Column, path: str, value: Column | str) -> Column:
     return _edit(doc, path, value, False, True)
 
 
@@ -396,12 +405,11 @@ def json_merge(a: Column, b: Column, patch: bool = False) -> Column:
 
 def json_depth(doc: Column) -> Column:
     @F.pandas_udf("int")
-    def depth(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def depth(part: pd.Series) -> pd.Series:
         def of(x) -> int:
             return 1 + max((of(y) for y in (x.values() if isinstance(x, dict) else x)), default=0) if isinstance(x, (dict, list)) else 1
 
-        for part in parts:
-            yield pd.Series([None if x is None else of(json.loads(x)) for x in part], dtype="Int32")
+        return pd.Series([None if x is None else of(json.loads(x)) for x in part], dtype="Int32")
 
     return depth(doc)
 

@@ -122,8 +122,8 @@ def json_names(spark, sf):
         D.json_contains(props, F.concat(F.lit('{"k":'), F.get_json_object(props, "$.k"), F.lit("}"))).alias("has"),
         D.json_contains(props, F.lit('{"none":1}')).alias("lacks"),
         F.array_join(D.json_search(F.lit('{"a":{"b":"x"},"c":["y","x"]}'), "x"), ",").alias("at"),
-        D.json_insert(D.json_insert(props, "$.z", F.lit("1")), "$.k", F.lit("5")).alias("ins"),
-        D.json_replace(D.json_replace(props, "$.k", F.lit("0")), "$.none", F.lit("5")).alias("rep"),
+        D.json_insert(D.json_insert(props, "$.z", "1"), "$.k", "5").alias("ins"),
+        D.json_replace(D.json_replace(props, "$.k", "0"), "$.none", "5").alias("rep"),
         D.json_merge(props, F.lit('{"k":1}')).alias("both"),
         D.json_merge(props, F.lit('{"k":1}'), patch=True).alias("patch"),
         D.json_depth(props).alias("depth"),

@@ -257,6 +257,11 @@ def test_one_sketch_for_all_keys(spark, name):
     assert sketches and not any(re.search(r"key=\[\w|keys=\[\w", line) for line in sketches)
 
 
+def test_json_names_by_one_worker(spark):
+    """A task has one Python process, not one for each kind of function."""
+    assert _plan(spark, "json_names").count("EvalPython") == 1
+
+
 def test_join_order_hints_hash_counted_orders(spark):
     plan = _plan(spark, "join_order_hints")
     assert "SortMergeJoin" in plan and re.search(r"ShuffledHashJoin[^\n]*BuildRight(?s:.*)HashAggregate\(keys=\[o_custkey", plan)
